@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP5_SQL, op5_chat_parts
+from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .packing import op1_best_fit_packing
 from .records import op7_token_records
+from .sharding import op6_hash_ring_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op5_chat_parts": op5_chat_parts,
+    "op6_hash_ring_shards": op6_hash_ring_shards,
     "op7_token_records": op7_token_records,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for the queries that SQL can express; the others are held against brute force in tests.
+ORACLE_SQL: dict[str, str] = {"op5_chat_parts": OP5_SQL, "op9_exact_dedup": OP9_SQL}
