@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP5_SQL, op5_chat_parts
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .packing import op1_best_fit_packing
+from .quality import op8_fourier_quality
 from .records import op7_token_records
 from .sharding import op6_hash_ring_shards
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_parts": op5_chat_parts,
     "op6_hash_ring_shards": op6_hash_ring_shards,
     "op7_token_records": op7_token_records,
+    "op8_fourier_quality": op8_fourier_quality,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
