@@ -1,8 +1,8 @@
 """Whole-text encoding with the ``tokenizers`` library, one memo per worker.
 
-A text is cut where the vocabulary's own pre-tokenizer always cuts it (blank,
-line feed, before a full stop or comma that ends a word), each distinct piece
-is encoded by the library once, and the pieces' ids are joined. Texts for which
+A text is cut where the vocabulary's own pre-tokenizer always cuts it (white
+space, before a full stop or comma that ends a word), each distinct piece is
+encoded by the library once, and the pieces' ids are joined. Texts for which
 lower case or composition depend on context go to the library whole, as do
 vocabularies whose pipeline is not the one described in ``_memo_is_exact``.
 """
@@ -12,15 +12,30 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
+import regex
 
-MEMO_PIECES = 600_000
+MEMO_PIECES = 1_000_000
 LONG_PIECE = 64
 
+#: Separators that str.split knows as white space and the vocabulary doesn't.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_MARKS_MEET = re.compile(r"(?:[^\w\s]|_)[.,]")
+_WORDS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _WORD_END = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte that prints as itself and the others, in order, from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in prints)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -36,6 +51,7 @@ def _memo_is_exact(spec: dict) -> bool:
         and len(splits) == 2
         and splits[0].get("behavior") == "Removed"
         and splits[0].get("invert") is True
+        and splits[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         and splits[0].get("pattern", {}).get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         and not spec["model"].get("dropout")
     )
@@ -52,62 +68,57 @@ class Encoder:
             spec = json.load(f)
         self._special = [t["content"] for t in spec.get("added_tokens", [])]
         self._exact = _memo_is_exact(spec)
+        self._model = self._tokenizer.model
         self._memo: dict[str, bytes] = {}
-        suffix = spec["model"].get("end_of_word_suffix")
-        vocabulary = self._tokenizer.get_vocab()
-        self.size = max(vocabulary.values(), default=0) + 1
-        self._ends = np.zeros(self.size, dtype=bool)
-        if suffix:
-            self._ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.size = self._tokenizer.get_vocab_size()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Put pieces in the memo. Words of letters are encoded as one text, which their end-of-word ids part again."""
-        if len(self._memo) + len(pieces) > MEMO_PIECES:
-            self._memo.clear()
-        words = [p for p in pieces if p.isalpha()]
-        if words:
-            ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self._ends[ids]) + 1
-            if len(cuts) == len(words):
-                data, at = ids.tobytes(), 0
-                for word, end in zip(words, (cuts * 4).tolist(), strict=True):
-                    self._memo[word] = data[at:end]
-                    at = end
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces, which the memo keeps too: the pre-tokenizer's words of each, through the model."""
+        found = {}
         for p in pieces:
-            if p not in self._memo:
-                self._memo[p] = self._whole(p)
+            if p.isalpha():
+                found[p] = self._word(p)
+            elif "'" in p:  # contractions have rules of their own
+                found[p] = self._whole(p)
+            else:
+                found[p] = b"".join([self._word(w) for w in _WORDS.findall(p)])
+        short = found if max(map(len, found)) <= LONG_PIECE else {p: v for p, v in found.items() if len(p) <= LONG_PIECE}
+        if len(self._memo) + len(short) > MEMO_PIECES:
+            self._memo.clear()
+        if len(short) <= MEMO_PIECES:
+            self._memo.update(short)
+        return found
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self._exact or (
             not text.isascii() and ("Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text))
         ):
             return self._whole(text)
-        if "<|" in text and any(s in text for s in self._special):
+        if _SEPARATORS.search(text) or ("<|" in text and any(s in text for s in self._special)):
             return self._whole(text)
-        pieces = _WORD_END.sub(r" \1", text.lower()).replace("\n", " ").split(" ")
-        distinct = set(pieces)
-        distinct.discard("")
-        if any(len(p) > LONG_PIECE for p in distinct):
-            return self._whole(text) if len(distinct) == 1 else b"".join([self._piece(p) for p in pieces if p])
-        if new := [p for p in distinct if p not in self._memo]:
-            if len(new) > MEMO_PIECES:  # more words in one text than the memo may hold
-                return self._whole(text)
-            self._learn(new)
-        memo = self._memo
-        try:
-            return b"".join([memo[p] for p in pieces if p])
-        except KeyError:  # emptied on the way
-            return self._whole(text)
-
-    def _piece(self, piece: str) -> bytes:
-        if len(piece) > LONG_PIECE:
-            return self._whole(piece)
-        if piece not in self._memo:
-            self._learn([piece])
-        return self._memo[piece]
+        if _MARKS_MEET.search(text):
+            cut = _WORD_END.sub(r" \1", text)
+        else:  # a full stop or comma follows a letter, a number or a blank everywhere
+            cut = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        pieces = cut.lower().split()
+        ids = list(map(self._memo.get, pieces))
+        if None in ids:
+            new, at = [], -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                new.append(at)
+            found = self._learn({pieces[i] for i in new})
+            for i in new:
+                ids[i] = found[pieces[i]]
+        return b"".join(ids)
 
 
 _encoders: dict[str, Encoder] = {}
