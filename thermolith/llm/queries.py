@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP5_SQL, op5_chat_parts
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .packing import op1_best_fit_packing
+from .page_text import op10_style_tree_text
 from .quality import op8_fourier_quality
 from .records import op7_token_records
 from .sharding import op6_hash_ring_shards
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_records": op7_token_records,
     "op8_fourier_quality": op8_fourier_quality,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_style_tree_text": op10_style_tree_text,
 }
 
 #: SQL for the queries that SQL can express; the others are held against brute force in tests.
