@@ -9,7 +9,7 @@ Distances to the candidates are exact. The asked-for share of a block is large
 where vectors are nearly at right angles to each other, as here: recall is
 measured in the tests and stated in the README.
 
-Of equal vectors, which a third of the table may be, the k + 1 smallest ids are
+Of equal vectors, which a third of the table may hold, the k + 1 smallest ids are
 all that any answer can hold, so only those are indexed, and equal queries are
 searched once. Queries are a stated set; they visit every block, in blocks.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP5_SQL, op5_chat_parts
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .mixing import op3_pfair_mixing
+from .near_dedup import op4_bayes_jaccard
 from .neighbours import op2_prefix_forest
 from .packing import op1_best_fit_packing
 from .page_text import op10_style_tree_text
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_prefix_forest": op2_prefix_forest,
     "op3_pfair_mixing": op3_pfair_mixing,
+    "op4_bayes_jaccard": op4_bayes_jaccard,
     "op5_chat_parts": op5_chat_parts,
     "op6_hash_ring_shards": op6_hash_ring_shards,
     "op7_token_records": op7_token_records,
