@@ -37,6 +37,8 @@ RIDGE = 1e-3
 WIDTH = 4.0
 BINS = 512
 SEED = 20
+#: Labelled rows that one partial sum covers, at least.
+ROWS_EACH = 50_000
 
 #: Texts are measured whole; only the share that deflate saves is taken in blocks of this many bytes.
 BLOCK = 1 << 20
@@ -159,7 +161,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: fl
     clean = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
     rows = stats.where(remainder(F.col("doc_id")) != 1).join(clean, "doc_id")
     rows = common.saved(rows.select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
-    spread = rows.select(*(f(F.col("stats")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    spread = rows.select(F.count("*").alias("n"), *(f(F.col("stats")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))))
     got = spread.first()
     rng = np.random.default_rng(SEED)
     projection, phase = rng.normal(size=(d, features)) / width, rng.uniform(0, 2 * np.pi, features)
@@ -188,8 +190,9 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: fl
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()])], ["fold", "data"])
 
-    # Sums of partitions meet in fewer and fewer tasks: one matrix for each fold and task, however many rows.
-    partial, schema = rows.mapInArrow(sums, "fold int, data binary"), "fold int, data binary"
+    # A task sums ROWS_EACH rows or more, and sums meet in fewer and fewer tasks: one matrix for each fold and task.
+    few = rows.coalesce(max(1, -(-got["n"] // ROWS_EACH)))
+    partial, schema = few.mapInArrow(sums, "fold int, data binary"), "fold int, data binary"
     while (n := partial.rdd.getNumPartitions()) > FOLDS:
         partial = partial.repartition(max(1, n // 8), "fold" if n <= 8 * FOLDS else F.rand(SEED)).mapInArrow(added, schema)
     fold_sums: dict[int, np.ndarray] = {}
