@@ -86,20 +86,24 @@ def minhash(grams: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.nd
 
 
 def sketched(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key of the n-gram set (null where empty) and signature of each row."""
+    """doc_id, hash of the text, key of the n-gram set (null where empty) and signature of each row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _permutations()
         for batch in batches:
             keys, signatures = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 grams = shingles(text.as_py() or "", words)
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
                 signatures.append(minhash(grams, factors, shifts).tobytes() if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "key", "signature"])
+            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "key", "signature"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, key binary, signature binary")
+    return _texts(docs, id_col, text_col).mapInArrow(sketch, "doc_id long, text_hash long, key binary, signature binary")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
 
 def least_matches(threshold: float, tolerance: float, values: int = VALUES, step: int = STEP) -> dict[int, int]:
@@ -312,30 +316,34 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, t
     return np.nonzero(hit)
 
 
-def near_duplicates(
-    docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest id of its class) and n_links (other documents at the threshold or above)."""
+def _first(none: Column, doc_id: Column, text_hash: Column) -> Column:
+    """The first document of some: the smallest id, null only if all are."""
+    return F.min(F.struct(none.alias("none"), doc_id.alias("id"), text_hash.alias("hash")))
+
+
+def _classed(docs: DataFrame, threshold: float, words: int, tolerance: float, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: doc_id, text_hash, key, first (of its class) and n_links."""
     spark = docs.sparkSession
     sketches = common.saved(sketched(docs, words, id_col, text_col), "sketches")
-    nodes = sketches.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min("signature").alias("signature"))
+    first = _first(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    nodes = sketches.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), first.alias("first"), F.min("signature").alias("signature"))
     # Nodes travel by a hash of their key; should two keys share one, they only land in one group, where keys tell them apart.
     nodes = common.saved(nodes.withColumn("node", F.xxhash64("key")), "nodes")
     groups = common.saved(candidate_groups(nodes.select("node", "signature").dropDuplicates(["node"]), threshold, tolerance), "groups")
 
-    members = nodes.select("node", "key", "n", "first_id").join(groups, "node").select("root", "key", "n", "first_id")
+    members = nodes.select("node", "key", "n", "first").join(groups, "node").select("root", "key", "n", "first")
     members = common.saved(members, "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "r")
     tasks = members.join(sizes, F.col("root") == F.col("r")).drop("r")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sent = texts.join(tasks, F.col("id").eqNullSafe(F.col("first_id"))).select("root", "key", "n", "size", "text")
+    match = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash"))
+    sent = _texts(docs, id_col, text_col).join(tasks, match).select("root", "key", "n", "size", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [shingles(t.as_py() or "", words).tobytes() for t in batch.column("text")]
             same = [hashlib.blake2b(g, digest_size=16).digest() == k for g, k in zip(grams, batch.column("key").to_pylist(), strict=True)]
             columns = [*(batch.column(c) for c in ("root", "key", "n", "size")), pa.array(grams, pa.binary())]
-            # Rows that repeat an id with another text don't carry the node's set.
+            # Should texts with one id share a hash, only those with the node's set count.
             yield pa.RecordBatch.from_arrays(columns, ["root", "key", "n", "size", "grams"]).filter(pa.array(same, pa.bool_()))
 
     sets = sent.mapInArrow(gather, "root long, key binary, n long, size long, grams binary")
@@ -365,23 +373,33 @@ def near_duplicates(
     found = common.saved(ordered.mapInArrow(verify, "key binary, links long, to binary"), "links")
     totals = found.groupBy("key").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("to").alias("u"), F.col("key").alias("v")))
-    named = nodes.select("key", "n", "first_id").join(totals, "key", "left").join(tied.withColumnRenamed("node", "key"), "key", "left")
-    named = common.saved(named.select("key", "n", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root")), "named")
-    classes = named.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("class_id"))
-    by_key = named.join(classes, F.col("root") == F.col("r")).select(F.col("key").alias("k"), "class_id", (F.col("links") + F.col("n") - 1).alias("n_links"))
-    out = sketches.select("doc_id", "key").join(common.saved(by_key, "classes"), F.col("key") == F.col("k"), "left")
-    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their class's smallest, one for each id, with all their columns."""
-    classes = common.saved(near_duplicates(docs, threshold, words, id_col=id_col, text_col=text_col), "near")
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__id"]), "left_anti")
-    repeated = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count().where("count > 1")
-    if repeated.limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.select(*docs.columns)
+    named = nodes.select("key", "n", "first").join(totals, "key", "left").join(tied.withColumnRenamed("node", "key"), "key", "left")
+    named = common.saved(named.select("key", "n", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root")), "named")
+    classes = named.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("class_first"))
+    by_key = named.join(classes, F.col("root") == F.col("r")).select(F.col("key").alias("k"), "class_first", (F.col("links") + F.col("n") - 1).alias("n_links"))
+    out = sketches.select("doc_id", "text_hash", "key").join(common.saved(by_key, "classes"), F.col("key") == F.col("k"), "left")
+    return out.select("doc_id", "text_hash", "key", "class_first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest id of its class) and n_links (other documents at the threshold or above)."""
+    rows = _classed(docs, threshold, words, tolerance, id_col, text_col)
+    return rows.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_first.id")).alias("class_id"), "n_links")
+
+
+def keep_one_of_each(
+    docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The first document of each class and all documents without words, with all their columns; rows that repeat id and text count once."""
+    rows = common.saved(_classed(docs, threshold, words, tolerance, id_col, text_col), "near")
+    is_first = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_first.id")) & (F.col("text_hash") == F.col("class_first.hash")))
+    gone = rows.where(~is_first).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    match = docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"])
+    kept = docs.join(gone, match, "left_anti")
+    repeated = rows.where(is_first).groupBy("doc_id", "text_hash").count().where("count > 1")
+    return kept.dropDuplicates([id_col, text_col]) if repeated.limit(1).count() else kept
 
 
 def op4_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

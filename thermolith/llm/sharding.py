@@ -89,9 +89,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, i
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            ids = np.where(np.isnan(ids), -1, ids).astype(np.int64) if ids.dtype.kind == "f" else ids
-            where = position(ids)
+            where = position(batch.column("doc_id").fill_null(-1).to_numpy())
             arcs = np.searchsorted(positions, where) % len(positions)
             yield batch.append_column("arc", pa.array(arcs.astype(np.int32))).append_column("where", pa.array(where.view(np.int64)))
 
