@@ -2,16 +2,15 @@
 
 A text is cut where the vocabulary's own pre-tokenizer always cuts it (white
 space, before a full stop or comma that ends a word), each distinct piece is
-encoded by the library once, and the pieces' ids are joined. Texts for which
-lower case or composition depend on context go to the library whole, as do
-vocabularies whose pipeline is not the one described in ``_memo_is_exact``.
+encoded by the library once, and the pieces' ids are joined. Texts that are not
+plain Latin go to the library whole, as do all texts where the vocabulary's
+pipeline is not the one described in ``_memo_is_exact``.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from array import array
 
 import numpy as np
@@ -20,8 +19,9 @@ import regex
 MEMO_PIECES = 1_000_000
 LONG_PIECE = 64
 
-#: Separators that str.split knows as white space and the vocabulary doesn't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: What is not plain Latin text: other scripts and combining marks, whose lower case, composition and classes the library
+#: alone decides, a letter whose lower case is two, and separators that str.split knows as white space and the vocabulary doesn't.
+_UNUSUAL = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f\u2010-\u2027]")
 _MARKS_MEET = re.compile(r"(?:[^\w\s]|_)[.,]")
 _WORDS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _WORD_END = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
@@ -93,16 +93,12 @@ class Encoder:
         return found
 
     def _word(self, word: str) -> bytes:
-        if not word.isascii():
+        if not (word.isascii() and word.isprintable()):
             word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self._exact or (
-            not text.isascii() and ("Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text))
-        ):
-            return self._whole(text)
-        if _SEPARATORS.search(text) or ("<|" in text and any(s in text for s in self._special)):
+        if not self._exact or _UNUSUAL.search(text) or ("<|" in text and any(s in text for s in self._special)):
             return self._whole(text)
         if _MARKS_MEET.search(text):
             cut = _WORD_END.sub(r" \1", text)
