@@ -19,7 +19,7 @@ from thermolith.functions.formats import HEADERS, parse_clusters
 from thermolith.operators import saturation, stencil, tiles
 from thermolith.plans import monitoring
 from thermolith.sources import http_batches, messages, msgpack, results, tiff
-from thermolith.sources.topics import BATCHES, Topics, latest_bench_id
+from thermolith.sources.topics import BATCHES, Topics, latest_bench_id, query_of
 from thermolith.sources.waiting import retried, wait_for_port, wait_until
 from thermolith.streaming.meters import fold, stream_throughput
 from thermolith.streaming.running import drained, stop_when_idle
@@ -105,7 +105,15 @@ def test_cluster_line_round_trip(spark):
     assert [tuple(c) for c in row["c"]] == [(498.26, 129.25, 87), (1.0, 2.0, 5)]
 
 
+def test_stamps(spark):
+    from thermolith.operators.measurements import latency_ms, stamped
+
+    row = stamped(stamped(spark.range(1), "a"), "b").select(latency_ms(F.col("a"), F.col("b")).alias("ms")).first()
+    assert row["ms"] == 0
+
+
 def test_names_and_headers():
+    assert [query_of(t) for t in ("query1-results", "my-query3-x", "other")] == ["query1", "query3", None]
     assert output_headers() == ["seq_id", "print_id", "tile_id", "P1", "dP1"]
     assert results.output_name("query1-results", datetime(2025, 6, 28, 10, 54, 17)) == "query1_20250628_105417.csv"
     assert results.output_name("query3-results", datetime(2025, 7, 2), "jsonl") == "query3_20250702_000000.jsonl"

@@ -20,7 +20,10 @@ log = logging.getLogger("thermolith")
 
 
 def session(metrics: bool = False) -> SparkSession:
-    builder = SparkSession.builder.appName("thermolith")
+    # State of keys lives in RocksDB, compressed, on the executors' disks.
+    builder = SparkSession.builder.appName("thermolith").config(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
     if metrics:  # Prometheus text at /metrics/executors/prometheus of the driver's UI
         builder = builder.config("spark.ui.prometheus.enabled", "true").config("spark.sql.streaming.metricsEnabled", "true")
     return builder.getOrCreate()

@@ -82,11 +82,12 @@ def label_outliers(tiles: DataFrame, eps: float = EPS, min_points: int = MIN_POI
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for points in batch.column("outliers").to_pylist():
-                y, x = (np.array([p[c] for p in points], np.int64) for c in ("y", "x"))
-                found.append(density_labels(y, x, eps, min_points).astype(np.int32).tolist())
-            yield batch.append_column("labels", pa.array(found, pa.list_(pa.int32())))
+            lists = batch.column("outliers")
+            points, cuts = lists.flatten(), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+            y, x = (points.field(c).to_numpy(zero_copy_only=False) for c in ("y", "x"))
+            found = [density_labels(y[i:j], x[i:j], eps, min_points) for i, j in zip(cuts, cuts[1:], strict=False)]
+            flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+            yield batch.append_column("labels", pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat)))
 
     schema = ", ".join(f"{c} {t}" for c, t in tiles.dtypes) + ", labels array<int>"
     return tiles.mapInArrow(label, schema)

@@ -46,6 +46,11 @@ def throughput_by_second(rows: DataFrame, ts: str) -> DataFrame:
     return rows.groupBy(F.date_trunc("second", F.col(ts)).alias("second")).agg(F.count("*").alias("elements"))
 
 
+def stamped(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with the time at which their query, or their micro-batch, began."""
+    return rows.withColumn(name, F.current_timestamp())
+
+
 def latency_ms(start: Column, end: Column) -> Column:
     """Milliseconds between two times, with or without a zone."""
     return F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))

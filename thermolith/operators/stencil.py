@@ -141,7 +141,15 @@ def outliers_in(layers: list[bytes], height: int, width: int) -> tuple[np.ndarra
 
 
 OUTLIERS = "array<struct<y:int,x:int,deviation:double>>"
-_POINT = pa.struct([("y", pa.int32()), ("x", pa.int32()), ("deviation", pa.float64())])
+
+
+def _listed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """Outliers of tiles as an Arrow list of structs, without Python objects for points."""
+    cuts = np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32)
+    columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3)]
+    types = (pa.int32(), pa.int32(), pa.float64())
+    points = pa.StructArray.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], ["y", "x", "deviation"])
+    return pa.ListArray.from_arrays(pa.array(cuts), points)
 
 
 def window_outliers(windows: DataFrame) -> DataFrame:
@@ -163,12 +171,11 @@ def window_outliers(windows: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for layers, h, w in zip(batch.column("pixels").to_pylist(), batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True):
-                rows = zip(*(a.tolist() for a in outliers_in(layers, h, w)), strict=True) if layers else ()
-                found.append([dict(zip(("y", "x", "deviation"), r, strict=True)) for r in rows])
+            none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            sides = batch.column("height").to_pylist(), batch.column("width").to_pylist()
+            found = [outliers_in(layers, h, w) if layers else none for layers, h, w in zip(batch.column("pixels").to_pylist(), *sides, strict=True)]
             columns = [*KEYS, "seq", *kept]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.list_(_POINT))], [*columns, "outliers"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), _listed(found)], [*columns, "outliers"])
 
     types = dict(flat.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in (*KEYS, "seq", *kept)) + f", outliers {OUTLIERS}"

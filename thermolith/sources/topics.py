@@ -12,9 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+# Names of the topics.
 BATCHES, BENCH, RESULTS = "gc-batches", "gc-bench", ("query1-results", "query2-results", "query3-results")
 
 
+def query_of(topic: str) -> str | None:
+    """The query whose results a topic holds, by what its name contains."""
+    return next((q.removesuffix("-results") for q in RESULTS if q.removesuffix("-results") in topic), None)
+
+
 @dataclass(frozen=True)
 class Topics:
     """``servers`` names Kafka brokers; without them topics are folders below ``folder``."""
