@@ -45,7 +45,7 @@ VALUES = 128
 #: Values compared before pairs are dropped again, and the posterior probability below which they are.
 STEP, TOLERANCE = 16, 1e-5
 #: Nodes of a bucket or group that one task compares with each other or with another block.
-BUCKET_BLOCK, GROUP_BLOCK = 2048, 512
+BUCKET_BLOCK, GROUP_BLOCK = 2048, 256
 SEED = 4
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -251,6 +251,8 @@ def candidate_groups(nodes: DataFrame, threshold: float = THRESHOLD, tolerance:
         for group in _groups(batches, ["bucket", "a", "b"]):
             if group.num_rows < 2:
                 continue
+            # In order of node, so that a cluster's links lead to its smallest node in every bucket, and most are the same link.
+            group = group.sort_by("node")
             ids, marks, mine = group.column("node").to_numpy(), _signatures(group.column("marks"), VALUES), group.column("mine").to_numpy()
             first, second = _task_pairs(group, mine, lambda x, y, marks=marks: surviving(marks[x], None if y is None else marks[y], least))
             if len(first):
@@ -335,8 +337,9 @@ def _classed(docs: DataFrame, threshold: float, words: int, tolerance: float, id
     members = common.saved(members, "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "r")
     tasks = members.join(sizes, F.col("root") == F.col("r")).drop("r")
+    # Members are a share of the documents, so their list is never broadcast: small tables then cost as large ones do.
     match = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash"))
-    sent = _texts(docs, id_col, text_col).join(tasks, match).select("root", "key", "n", "size", "text")
+    sent = _texts(docs, id_col, text_col).join(tasks.hint("merge"), match).select("root", "key", "n", "size", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,7 +358,7 @@ def _classed(docs: DataFrame, threshold: float, words: int, tolerance: float, id
             keys, first_of = group.column("key").to_pylist(), {}
             for i, k in enumerate(keys):
                 first_of.setdefault(k, i)
-            group = group.take(pa.array(list(first_of.values())))
+            group = group.take(pa.array([first_of[k] for k in sorted(first_of)]))
             keys, n = group.column("key").to_pylist(), group.column("n").to_numpy()
             held = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
             first, second = _task_pairs(group, group.column("mine").to_numpy(), lambda x, y, held=held: linked(held, x, y, threshold))
@@ -397,7 +400,7 @@ def keep_one_of_each(
     is_first = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_first.id")) & (F.col("text_hash") == F.col("class_first.hash")))
     gone = rows.where(~is_first).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     match = docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"])
-    kept = docs.join(gone, match, "left_anti")
+    kept = docs.join(gone.hint("merge"), match, "left_anti")
     repeated = rows.where(is_first).groupBy("doc_id", "text_hash").count().where("count > 1")
     return kept.dropDuplicates([id_col, text_col]) if repeated.limit(1).count() else kept
 
