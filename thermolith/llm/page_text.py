@@ -12,11 +12,12 @@ Pages say some things themselves, and these bound the measured importance:
 branches named as menus, adverts, forms, comments and so on have none, and
 ``article`` or ``main`` has full importance, so that copies of an article on
 one host don't make it noise. A page with an article keeps nothing beside it.
-A branch seen on few pages counts as important unless it is mostly links.
+A branch that is mostly links goes, and one seen on few pages can't be judged
+otherwise and stays.
 
 Counts are rows (host, node, kind, value) that Spark adds up in two steps, so a
 host with a third of all pages is one more key for partial sums, not one task's
-tree. Pages meet their host's list of unimportant nodes by a join that adaptive
+tree. Pages meet their host's list of noisy nodes by a join that adaptive
 execution may split; they travel as compressed blocks, not as HTML.
 
 Cases: a null html or one without text gives an empty text; a null or odd url
@@ -45,7 +46,7 @@ from . import common
 PRESENTATION = 0.1
 #: Importance below which a branch goes, and how often it must occur to be judged.
 THRESHOLD, SEEN = 0.6, 4
-#: A branch seen less often goes if links hold more than this share of it.
+#: A branch goes if links hold more than this share of it.
 LINKED = 0.5
 
 # Elements by their part in HTML.
@@ -245,8 +246,8 @@ def style_tree(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, seen: int = SEEN) -> DataFrame:
     """page_id, url and main text of each page."""
     tree = style_tree(pages, id_col, url_col, html_col)
-    # A host's list holds nodes, not pages: as many as its template has branches.
-    judged = tree.where(F.col("n") >= seen).groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("judged"))
+    # A host's list holds the branches of its template that repeat themselves, not pages or contents.
+    noisy = tree.where((F.col("n") >= seen) & (F.col("importance") < threshold)).groupBy("host").agg(F.collect_list("node").alias("noisy"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,21 +258,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         keys: dict[str, int] = {}
         for batch in batches:
             texts = []
-            for data, judged in zip(batch.column("blocks"), batch.column("judged").to_pylist(), strict=True):
-                importance = {j["node"]: j["importance"] for j in judged or ()}
+            for data, noisy in zip(batch.column("blocks"), batch.column("noisy").to_pylist(), strict=True):
+                gone = frozenset(noisy or ())
                 found = json.loads(zlib.decompress(data.as_py()).decode("utf-8", "surrogatepass"))
                 has_main = any(main and not noise for _, noise, main, *_ in found)
                 kept = []
                 for path, noise, main, linked, text in found:
                     if path not in keys:
                         keys[path] = key64(path)
-                    if noise:
-                        worth = 0.0
-                    elif main or has_main:
-                        worth = float(main)
+                    if main or has_main:
+                        keep = main and not noise
                     else:
-                        worth = importance.get(keys[path], float(linked <= LINKED))
-                    if worth >= threshold:
+                        keep = not noise and keys[path] not in gone and linked <= LINKED
+                    if keep:
                         kept.append(text)
                 if len(keys) > 50_000:
                     keys.clear()
@@ -281,7 +280,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = _with_host(pages, id_col, url_col, html_col)
     types = dict(rows.dtypes)
     packed = rows.mapInArrow(blocks, f"page_id {types['page_id']}, url {types['url']}, host long, blocks binary")
-    joined = packed.join(judged, "host", "left").select("page_id", "url", "blocks", "judged")
+    joined = packed.join(noisy, "host", "left").select("page_id", "url", "blocks", "noisy")
     return joined.mapInArrow(prune, f"page_id {types['page_id']}, url {types['url']}, text string")
 
 
