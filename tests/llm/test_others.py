@@ -32,6 +32,7 @@ def test_neighbours_of_hard_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=3).round(1).tolist()) for i in range(1, 300)]
     rows += [(1000 + i, [1.0, 1.0, 1.0]) for i in range(100)] + [(100, rows[99][1]), (2000, [1.0, 1.0, 1.0])]
+    rows += [(900, [2.0, 2.0, 2.0])] * 40 + [(901 + i, [2.0, 2.0, 2.0]) for i in range(15)]
     rows += [(3000, None), (3100, [0.0, 0.0, 0.0]), (3200, [1.0, None, 2.0]), (3300, [float("nan"), 1.0, 1.0]), (3400, [float("inf"), 1.0, 1.0]), (3500, [1.0, 2.0]), (None, [1.0, 2.0, 3.0])]
     frame = spark.createDataFrame([(*r, 1, 2.0, 3) for r in rows], "vec_id bigint, embedding array<double>, rep int, score double, block int")
     found = {}

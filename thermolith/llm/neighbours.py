@@ -112,10 +112,10 @@ def nearest(
     dim = dims["dim"] if dims else 0
     vectors = vectors.where(F.col("dim") == dim).drop("dim")
 
-    # The smallest ids of each distinct vector; partial limits keep copies from meeting in one task.
+    # The smallest ids of each distinct vector; limits within tasks keep copies from meeting in one.
     same = Window.partitionBy("v").orderBy("vec_id")
-    few = vectors.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= 2 * (k + 1)).dropDuplicates(["v", "vec_id"])
-    few = few.withColumns({"nth": F.row_number().over(same), "rep": F.min("vec_id").over(Window.partitionBy("v"))}).where(F.col("nth") <= k + 1)
+    few = vectors.dropDuplicates(["vec_id", "v"]).withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
+    few = few.withColumn("rep", F.min("vec_id").over(Window.partitionBy("v")))
     index = common.saved(few.drop("nth"), "index")
     distinct = index.where(F.col("vec_id") == F.col("rep")).select("rep", "v")
     asking = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("own")).dropDuplicates(["query_id", "own"])
