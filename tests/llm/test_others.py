@@ -76,7 +76,7 @@ def check_schedule(rows, blocks, weights):
         assert np.abs(done - share).max() < 1
 
 
-@pytest.mark.parametrize("blocks,weights,epoch", [([7, 3, 11], [1, 1, 1], 4), ([50, 200, 33, 1], [0.5, 0.2, 0.29, 0.01], 64), ([90, 30, 40, 9, 5], [5, 1, 3, 2.5, 1], 16), ([5], [1], 3)])
+@pytest.mark.parametrize("blocks,weights,epoch", [([7, 3, 11], [1, 1, 1], 4), ([50, 200, 33, 1], [0.5, 0.2, 0.29, 0.01], 64), ([90, 30, 40, 9, 5], [5, 1, 3, 2.5, 1], 16), ([5], [1], 3), ([1, 4000, 300], [0.0003, 0.9, 0.0997], 64)])
 def test_every_block_in_its_window(spark, blocks, weights, epoch):
     check_schedule(mixing.schedule(spark, blocks, weights, epoch).collect(), blocks, weights)
 
