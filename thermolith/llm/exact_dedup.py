@@ -230,8 +230,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.unhex(F.sha2(F.translate(text, _BLANKS, ""), 256))})
     match = own["__id"].eqNullSafe(stay["__id"]) & (own["__key"] == stay["__key"])
-    # Rows that repeat id and key are copies of each other; after the join they already share a partition.
-    return own.join(stay, match, "left_semi").dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    kept = own.join(stay, match, "left_semi")
+    # Rows that repeat id and key are copies of each other. Texts travel once more only if there are any.
+    again = keys.groupBy("doc_id", "key").count().where("count > 1")
+    return (kept.dropDuplicates(["__id", "__key"]) if again.limit(1).count() else kept).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ EPOCH_SLOTS = 64
 #: Power of a source's size that its weight follows where none are given.
 TEMPERATURE = 0.5
 #: Documents ranked together, about.
-RANKED_TOGETHER = 100_000
+RANKED_TOGETHER = 10_000
 
 _EPS = 1e-6
 _WINDOW = "struct<due:bigint,release:bigint,source:int,block:bigint>"
