@@ -12,7 +12,8 @@ each source stands at its fluid share rounded down or up, the largest
 remainders up, so that the sum is the slot's number. Blocks whose window lies
 inside any stretch of slots then never outnumber the slots, whichever border
 they touch, so earliest deadline first succeeds in every epoch by itself. An
-epoch is long enough for the slowest source to advance by one block.
+epoch is long enough for the slowest source to advance by one block, and takes
+work in proportion to its slots and to the number of sources.
 
 An epoch is one row: its borders, its blocks with their windows and the
 schedule are array expressions over the list of sources, which the plan holds
@@ -39,6 +40,7 @@ from . import common
 
 BLOCK_ROWS = 64
 EPOCH_SLOTS = 64
+STRETCH = 64
 #: Power of a source's size that its weight follows where none are given.
 TEMPERATURE = 0.5
 #: Documents ranked together, about.
@@ -116,17 +118,26 @@ def schedule(spark: SparkSession, blocks: list[int], weights: list[float], epoch
     epochs = spark.range(-(-total // length)).select((F.col("id") * length).alias("from"), F.least((F.col("id") + 1) * length, F.lit(total)).alias("to"))
     epochs = epochs.withColumns({"t0": time_at(F.col("from")), "t1": time_at(F.col("to"))})
     epochs = epochs.withColumns({"q0": borders(F.col("from"), F.col("t0")), "q1": borders(F.col("to"), F.col("t1"))})
-    todo = F.flatten(F.transform(sources, lambda s, i: windows(s, F.get("q0", i), F.get("q1", i))))
-    epochs = epochs.withColumn("todo", F.array_sort(todo))
+    epochs = epochs.withColumn("todo", F.transform(sources, lambda s, i: windows(s, F.get("q0", i), F.get("q1", i))))
 
     def place(state: Column, slot: Column) -> Column:
-        # The list is in order of deadline, so the first released block is due first.
-        ready = F.get(F.filter(state["todo"], lambda b: b["release"] <= slot), F.lit(0))
-        pick = F.coalesce(ready, F.get(state["todo"], F.lit(0)))
-        return F.struct(F.array_remove(state["todo"], pick).alias("todo"), F.array_append(state["done"], pick).alias("done"))
-
-    start = F.struct(F.col("todo"), F.array().cast(f"array<{_WINDOW}>").alias("done"))
-    order = F.aggregate(F.sequence(F.col("from"), F.col("to") - 1), start, place)["done"]
+        """Take the released block that is due first among each source's next one."""
+        heads = F.filter(F.transform(state["next"], lambda n, i: F.get(F.get(F.col("todo"), i), n)), lambda b: b.isNotNull())
+        pick = F.coalesce(F.array_min(F.filter(heads, lambda b: b["release"] <= slot)), F.array_min(heads))
+        after = F.transform(state["next"], lambda n, i: n + F.when(i == pick["source"], 1).otherwise(0))
+        return F.struct(after.alias("next"), F.array_append(state["done"], pick).alias("done"))
+
+    none = F.array().cast(f"array<{_WINDOW}>")
+
+    def stretch(state: Column, first: Column) -> Column:
+        """Slots from ``first`` on, kept as a list of their own so that no long list is copied for every slot."""
+        slots = F.sequence(first, F.least(first + (STRETCH - 1), F.col("to") - 1))
+        run = F.aggregate(slots, F.struct(state["next"].alias("next"), none.alias("done")), place)
+        merged = F.transform(F.array(run), lambda r: F.struct(r["next"].alias("next"), F.array_append(state["done"], r["done"]).alias("done")))
+        return F.element_at(merged, 1)
+
+    start = F.struct(F.transform(sources, lambda s: F.lit(0)).alias("next"), F.array().cast(f"array<array<{_WINDOW}>>").alias("done"))
+    order = F.flatten(F.aggregate(F.sequence(F.col("from"), F.col("to") - 1, F.lit(STRETCH).cast("long")), start, stretch)["done"])
     return epochs.select("from", F.posexplode(order).alias("at", "b")).select("b.source", "b.block", (F.col("from") + F.col("at")).alias("slot"), "b.release", "b.due")
 
 
