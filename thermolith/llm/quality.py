@@ -26,6 +26,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,6 +145,17 @@ def _stats(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
 
 
+SUMS = "fold int, part int, data binary"
+
+
+def _matrices(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A task's sums, one row per fold, with the task's number to deal them by."""
+    if total:
+        part = TaskContext.get().partitionId()
+        columns = [pa.array(list(total), pa.int32()), pa.array([part] * len(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["fold", "part", "data"])
+
+
 def isotonic(score: np.ndarray, n: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators; the pooled steps' mean scores and chances, for interpolation."""
     pools: list[list[float]] = []
@@ -179,22 +191,20 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: fl
             for k in np.unique(fold).tolist():
                 own, right = x[fold == k], y[fold == k]
                 total[k] = total.get(k, 0) + own.T @ np.column_stack([own, right])
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()])], ["fold", "data"])
+        yield from _matrices(total)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column("fold").to_pylist(), batch.column("data"), strict=True):
                 total[k] = total.get(k, 0) + np.frombuffer(data.as_buffer())
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()])], ["fold", "data"])
+        yield from _matrices(total)
 
     # A task sums ROWS_EACH rows or more, and sums meet in fewer and fewer tasks: one matrix for each fold and task.
     few = rows.coalesce(max(1, -(-got["n"] // ROWS_EACH)))
-    partial, schema = few.mapInArrow(sums, "fold int, data binary"), "fold int, data binary"
+    partial = few.mapInArrow(sums, SUMS)
     while (n := partial.rdd.getNumPartitions()) > FOLDS:
-        partial = partial.repartition(max(1, n // 8), "fold" if n <= 8 * FOLDS else F.rand(SEED)).mapInArrow(added, schema)
+        partial = partial.repartition(max(1, n // 8), "part").mapInArrow(added, SUMS)
     fold_sums: dict[int, np.ndarray] = {}
     for r in partial.collect():  # at most FOLDS matrices for each of FOLDS tasks
         fold_sums[r["fold"]] = fold_sums.get(r["fold"], 0) + np.frombuffer(r["data"]).reshape(size, size + 1)
