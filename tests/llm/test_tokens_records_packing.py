@@ -110,10 +110,12 @@ def test_packing_hard_documents(hard, nothing):
 
 def test_exchange_between_partitions(spark, documents):
     pairs = [(i, " ".join(["word"] * (300 + 37 * i % 900)), "a") for i in range(400)]
-    rows = packing.pack_documents(documents(pairs).repartition(16)).collect()
+    packed = packing.pack_documents(documents(pairs).repartition(16))
+    rows = packed.collect()
     n = check_packed(rows, pairs)
     lengths = np.array([r["length"] for r in rows])
     alone = sum(len(packing.best_fit_decreasing(lengths[i::16])[2]) for i in range(16))
+    assert packing.certificate(packed) == (n, packing.lower_bound(lengths))
     assert packing.lower_bound(lengths) <= n < alone
 
 

@@ -108,10 +108,12 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     (k + 1) x / capacity down to multiples of 1 / k; and f counts how many
     sizes of at least t fit, giving halves their due.
     """
-    if not len(lengths):
-        return 0
-    sizes = np.arange(capacity + 1, dtype=np.int64)
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The same from the number of pieces of each length."""
+    sizes, count = np.arange(capacity + 1, dtype=np.int64), count.astype(np.int64)
     best = -(-int((sizes * count).sum()) // capacity)
     number, total = np.cumsum(count), np.cumsum(sizes * count)
     for t in (np.flatnonzero(count[: capacity // 2 + 1])).tolist():
@@ -184,6 +186,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out.drop("open")
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """Sequences of a whole packing, and the bound on how few there could be, from one row per length."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    return packed.where("offset = 0").count(), bound_of_counts(count, capacity)
+
+
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize and pack whole documents. Encoding runs once: its pieces are a written table."""
     return pack(common.saved(tokenized_pieces(docs, vocabulary, capacity=capacity), "pieces"), capacity)
