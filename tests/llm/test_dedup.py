@@ -161,3 +161,21 @@ def test_components(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_of_links_that_come_out_differently_each_time(spark):
+    def stars(batches):
+        import random
+
+        import pandas as pd
+
+        for batch in batches:
+            nodes = batch["id"].tolist()
+            for k in range(0, len(nodes), 10):
+                own = nodes[k : k + 10]
+                centre = random.SystemRandom().choice(own)
+                yield pd.DataFrame({"u": [centre] * len(own), "v": own})
+
+    links = spark.range(0, 200, 1, 4).mapInPandas(stars, "u long, v long")
+    found = {r["node"]: r["root"] for r in components(links).collect()}
+    assert found == {i: i // 10 * 10 for i in range(200)}

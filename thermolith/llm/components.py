@@ -15,8 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     label, and writes its table; the number of steps grows with the logarithm
     of a component's diameter. Neither edges nor labels reach the driver.
     """
-    both = edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = common.saved(both.distinct(), "links")
+    # Written once before both directions are read: links made twice could differ, and both directions must agree.
+    once = common.saved(edges.where("u <> v").select("u", "v").distinct(), "links")
+    both = common.saved(once.union(once.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     labels = common.saved(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))

@@ -269,7 +269,7 @@ def candidate_groups(nodes: DataFrame, threshold: float = THRESHOLD, tolerance:
 
     width = common.shuffle_width(spark)
     dealt = tasks.repartition(width, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    return components(dealt.mapInArrow(compare, "u long, v long").distinct())
+    return components(dealt.mapInArrow(compare, "u long, v long"))
 
 
 def _links(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
