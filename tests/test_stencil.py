@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from thermolith.operators import clusters, stencil, tiles
+from thermolith.operators import clusters, saturation, stencil, tiles
 from thermolith.operators.windows import tile_windows
 
 
@@ -140,3 +140,14 @@ def test_halves_round_up(spark, value, text):
     from thermolith.functions.formats import deviation_text
 
     assert spark.range(1).select(deviation_text(F.lit(value)).alias("t")).first()["t"] == text
+
+
+def test_exchanges(spark, sf_dir):
+    t = tiles.read_tiles(spark, sf_dir)
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    assert exchanges(stencil.means_windowed(t)) == 1
+    assert exchanges(stencil.outliers(tiles.packed(t))) == 1
+    assert exchanges(saturation.saturation(t)) == 0

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 KEYS = ["print_id", "tile_id"]
 SIDE = 8
 TILES_PER_LAYER = 16
+#: All test vectors are tiles of print 0; a computed number, unlike a literal, stays a key that exchanges can share.
+TILES_PER_PRINT = 1 << 40
 
 
 def tiles_from_embeddings(vectors: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def tiles_from_embeddings(vectors: DataFrame) -> DataFrame:
     t = F.transform("embedding", lambda e: F.least(F.lit(65535), F.greatest(F.lit(0), F.floor(F.lit(32768.0) + e.cast("double") * 200000.0).cast("int"))))
     return vectors.select(
         F.col("vec_id").alias("batch_id"),
-        F.lit("P0").alias("print_id"),
+        F.concat(F.lit("P"), F.expr(f"vec_id div {TILES_PER_PRINT}").cast("string")).alias("print_id"),
         (F.col("vec_id") % TILES_PER_LAYER).alias("tile_id"),
         F.expr(f"vec_id div {TILES_PER_LAYER}").alias("layer"),
         F.lit(SIDE).alias("height"),
