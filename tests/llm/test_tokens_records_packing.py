@@ -108,7 +108,8 @@ def test_packing_hard_documents(hard, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
-def test_exchange_between_partitions(spark, documents):
+def test_exchange_between_partitions(documents, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_EACH", 25)
     pairs = [(i, " ".join(["word"] * (300 + 37 * i % 900)), "a") for i in range(400)]
     packed = packing.pack_documents(documents(pairs).repartition(16))
     rows = packed.collect()

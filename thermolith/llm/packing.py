@@ -31,6 +31,8 @@ CAPACITY = 2048
 MERGE = 8
 #: Sequences given up for each one above the bound, and at least.
 OPEN_FOR_EACH, OPEN_LEAST = 4, 8
+#: Pieces that a first partition holds at least, so that what it wastes at its end is a small share.
+PIECES_EACH = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, open boolean, bins long, bound long"
@@ -196,7 +198,8 @@ def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize and pack whole documents. Encoding runs once: its pieces are a written table."""
-    return pack(common.saved(tokenized_pieces(docs, vocabulary, capacity=capacity), "pieces"), capacity)
+    pieces = common.saved(tokenized_pieces(docs, vocabulary, capacity=capacity), "pieces")
+    return pack(pieces.coalesce(max(1, -(-pieces.count() // PIECES_EACH))), capacity)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
