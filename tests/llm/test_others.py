@@ -229,6 +229,20 @@ def test_branches_that_repeat_on_a_host_go(spark):
     assert set(texts(pages(spark, copies)).values()) == {"the same words"}
 
 
+def test_copies_count_once(spark):
+    def page(i, ad):
+        return f"<body><div class='ad'>{ad}</div><h1>Title {i}</h1>{''.join(f'<p>{sentence(20 * i + k, 12)}</p>' for k in range(10))}<div><p>All rights reserved</p><p>All rights reserved</p></div></body>"
+
+    def want(i):
+        return "\n\n".join([f"Title {i}", *(sentence(20 * i + k, 12) for k in range(10))])
+
+    rows = [(i, f"https://c.example/{i}", page(i if i < 28 else 0, i)) for i in range(100)]  # 73 of 100 are one page, each with its own advert
+    found = texts(pages(spark, rows))
+    assert all(found[i] == want(i if i < 28 else 0) for i in range(100))
+    few = texts(pages(spark, [(i, "https://f.example/", page(max(0, i - 2), 0)) for i in range(4)]))  # two pages, no measure
+    assert all(t.startswith("Title") for t in few.values())
+
+
 def test_importance_of_nodes(spark):
     rows = [(i, "http://a.example", f"<body><div>{i}</div><p>same</p></body>") for i in range(16)]
     tree = page_text.style_tree(pages(spark, rows)).collect()

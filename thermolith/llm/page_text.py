@@ -2,9 +2,8 @@
 
 The pages of a host are merged into one tree whose nodes are paths of block
 elements with their presentation (tag, class and id words without numbers).
-For each node the tree counts how often each content and each sequence of
-children occurs. A node whose contents all differ has entropy log n and
-importance 1; a node that says the same on every page has importance 0. The
+For each node the tree counts on how many pages each content and each sequence
+of children occurs. A node whose contents all differ has importance 1; a node that says the same on every page has importance 0. The
 importance of a branch is mostly that of its content, with a share for its
 presentation. Each page then loses its branches of low importance.
 
@@ -15,7 +14,10 @@ one host don't make it noise. A page with an article keeps nothing beside it.
 A branch that is mostly links goes, and one seen on few pages can't be judged
 otherwise and stays.
 
-Counts are rows (host, node, kind, value) that Spark adds up in two steps, so a
+Pages of a host that are equal but for branches so named are copies and count
+once, so that copies of a page don't make its content noise.
+
+Counts are rows (host, node, kind, value, copy) that Spark makes distinct and adds up in steps, so a
 host with a third of all pages is one more key for partial sums, not one task's
 tree. Pages meet their host's list of noisy nodes by a join that adaptive
 execution may split; they travel as compressed blocks, not as HTML.
@@ -44,7 +46,7 @@ from . import common
 
 #: Share of a branch's importance that its presentation has.
 PRESENTATION = 0.1
-#: Importance below which a branch goes, and how often it must occur to be judged.
+#: Importance below which a branch goes, and on how many pages it must occur to be judged.
 THRESHOLD, SEEN = 0.6, 4
 #: A branch goes if links hold more than this share of it.
 LINKED = 0.5
@@ -204,7 +206,7 @@ def _with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
 
 
 def style_tree(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Host, node, times seen and importance of every style node that holds content."""
+    """Host, node, distinct pages and measured importance of every style node that holds content."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict[str, int] = {}
@@ -217,27 +219,33 @@ def style_tree(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             return keys[text]
 
         for batch in batches:
-            rows: list[tuple[int, int, int, int]] = []
+            rows: list[tuple[int, int, int, int, int, int]] = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 blocks, elements = parse(page.as_py() or "")
-                rows += [(host, key(path), CONTENT, key64(text)) for path, *_, text in blocks]
-                rows += [(host, key(path), CHILDREN, key(children)) for path, children in elements if children]
+                copy = key64("\0".join(f"{path}\0{text}" for path, noise, *_, text in blocks if not noise))
+                seen: set[tuple[int, int]] = set()
+                for node, kind, value in dict.fromkeys(
+                    [*((key(path), CONTENT, key64(text)) for path, *_, text in blocks), *((key(path), CHILDREN, key(children)) for path, children in elements if children)]
+                ):
+                    rows.append((host, node, kind, value, copy, (node, kind) not in seen))
+                    seen.add((node, kind))
             for i in range(0, len(rows), 20_000):
-                h, n, k, v = zip(*rows[i : i + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int32()), pa.array(v, pa.int64())], ["host", "node", "kind", "value"]
-                )
+                columns = zip(*rows[i : i + 20_000], strict=True)
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(map(int, c), t) for c, t in zip(columns, types, strict=True)], ["host", "node", "kind", "value", "copy", "first"])
 
-    found = _with_host(pages, id_col, url_col, html_col).select("host", "html").mapInArrow(count, "host long, node long, kind int, value long")
-    counts = found.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"))
-    sums = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("clogc") / F.col("n")) / F.log("n")).otherwise(1.0)
+    found = _with_host(pages, id_col, url_col, html_col).select("host", "html").mapInArrow(count, "host long, node long, kind int, value long, copy long, first int")
+    # A page says a content once however often it repeats it, and so do its copies. ``first`` adds up to pages.
+    once = found.groupBy("host", "node", "kind", "value", "copy").agg(F.max("first").alias("first"))
+    counts = once.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"), F.sum("first").alias("first"))
+    sums = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("n"), F.sum("first").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    entropy = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("clogc") / F.col("n") / F.log("pages"))).otherwise(1.0)
 
     def of(kind: int, what: Column) -> Column:
         return F.max(F.when(F.col("kind") == kind, what))
 
     nodes = sums.groupBy("host", "node").agg(
-        of(CONTENT, F.col("n")).alias("n"), of(CONTENT, entropy).alias("content"), F.coalesce(of(CHILDREN, entropy), F.lit(1.0)).alias("children")
+        of(CONTENT, F.col("pages")).alias("n"), of(CONTENT, entropy).alias("content"), F.coalesce(of(CHILDREN, entropy), F.lit(1.0)).alias("children")
     )
     importance = F.col("content") * (1 - PRESENTATION) + F.col("children") * PRESENTATION
     return nodes.where("n is not null").select("host", "node", "n", importance.alias("importance"))
