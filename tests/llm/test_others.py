@@ -243,6 +243,18 @@ def test_copies_count_once(spark):
     assert all(t.startswith("Title") for t in few.values())
 
 
+def test_importance_decides_inside_and_beside_articles(spark):
+    def page(i):
+        return f"""<body><div class="intro"><p>{sentence(1000 + i, 20)}</p></div><div class="where"><p>You are reading our site</p></div>
+<article><header class="entry-header"><h1><a href="/{i}">Title {i}</a></h1></header><p>{sentence(i, 30)}</p><div class="box"><p>Reprinted by kind permission</p></div>
+<p><a href="/next">Read on</a></p></article></body>"""
+
+    rows = [(i, f"https://a.example/{i}", page(i)) for i in range(20)] + [(99, "https://alone.example/", page(99))]
+    found = texts(pages(spark, rows))
+    assert all(found[i] == f"{sentence(1000 + i, 20)}\n\nTitle {i}\n\n{sentence(i, 30)}" for i in range(20))
+    assert found[99] == f"Title 99\n\n{sentence(99, 30)}\n\nReprinted by kind permission"  # one page is no measure; its tags decide
+
+
 def test_importance_of_nodes(spark):
     rows = [(i, "http://a.example", f"<body><div>{i}</div><p>same</p></body>") for i in range(16)]
     tree = page_text.style_tree(pages(spark, rows)).collect()

@@ -3,23 +3,26 @@
 The pages of a host are merged into one tree whose nodes are paths of block
 elements with their presentation (tag, class and id words without numbers).
 For each node the tree counts on how many pages each content and each sequence
-of children occurs. A node whose contents all differ has importance 1; a node that says the same on every page has importance 0. The
-importance of a branch is mostly that of its content, with a share for its
-presentation. Each page then loses its branches of low importance.
-
-Pages say some things themselves, and these bound the measured importance:
-branches named as menus, adverts, forms, comments and so on have none, and
-``article`` or ``main`` has full importance, so that copies of an article on
-one host don't make it noise. A page with an article keeps nothing beside it.
-A branch that is mostly links goes, and one seen on few pages can't be judged
-otherwise and stays.
+of children occurs. A node whose contents all differ has importance 1; a node
+that says the same on every page has importance 0. The importance of a branch
+is mostly that of its content, with a share for its presentation. Each page
+then loses its branches of low importance.
+
+Pages say some things themselves. ``article`` or ``main`` is a prior that
+counts as much as a few measured pages: of importance 1 for what is inside and
+0 for what stands beside it. The measured importance then decides in both
+places: an unnamed branch that repeats in articles goes, and text beside an
+article that differs from page to page stays. A branch seen on few pages can't
+be measured; its place decides. Branches named as menus, adverts, forms,
+comments and so on have importance 0 whatever is measured, as many differ from
+page to page. A branch that is mostly links goes, except headings of articles.
 
 Pages of a host that are equal but for branches so named are copies and count
 once, so that copies of a page don't make its content noise.
 
-Counts are rows (host, node, kind, value, copy) that Spark makes distinct and adds up in steps, so a
-host with a third of all pages is one more key for partial sums, not one task's
-tree. Pages meet their host's list of noisy nodes by a join that adaptive
+Counts are rows (host, node, kind, value, copy) that Spark makes distinct and
+adds up in steps, so a host with a third of all pages is one more key for
+partial sums, not one task's tree. Pages meet their host's list of noisy nodes by a join that adaptive
 execution may split; they travel as compressed blocks, not as HTML.
 
 Cases: a null html or one without text gives an empty text; a null or odd url
@@ -48,6 +51,8 @@ from . import common
 PRESENTATION = 0.1
 #: Importance below which a branch goes, and on how many pages it must occur to be judged.
 THRESHOLD, SEEN = 0.6, 4
+#: Pages that the prior of a place inside or beside an article counts as.
+PRIOR = 4
 #: A branch goes if links hold more than this share of it.
 LINKED = 0.5
 
@@ -68,6 +73,7 @@ _NOISE_TAGS = frozenset(
     "dialog menu fieldset audio video math".split()
 )
 _MAIN_TAGS = frozenset(("article", "main"))
+_HEADINGS = ("/h1", "/h2", "/h3", "/h4", "/h5", "/h6")
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion sidebar "
@@ -112,7 +118,7 @@ def _opened(tag: str, text: str, parent: _Element) -> _Element:
             or "hidden" in attributes
             or attributes.get("aria-hidden") == "true"
             or "display:none" in attributes.get("style", "").replace(" ", "")
-            or (tag not in ("html", "body", "main") and (tag != "article" or parent.main) and not _NOISE_WORDS.isdisjoint(words))
+            or (tag not in ("html", "body", "main") and (tag != "article" or parent.main) and any(w in _NOISE_WORDS and not (parent.main and w == "header") for w in words))
             or (tag == "article" and not {"comment", "comments", "ad", "advert", "promo", "related"}.isdisjoint(words))
         )
     main = parent.main or tag in _MAIN_TAGS or attributes.get("role") == "main"
@@ -254,8 +260,16 @@ def style_tree(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, seen: int = SEEN) -> DataFrame:
     """page_id, url and main text of each page."""
     tree = style_tree(pages, id_col, url_col, html_col)
-    # A host's list holds the branches of its template that repeat themselves, not pages or contents.
-    noisy = tree.where((F.col("n") >= seen) & (F.col("importance") < threshold)).groupBy("host").agg(F.collect_list("node").alias("noisy"))
+    weighed = F.col("n") * F.col("importance")
+    inside, beside = (PRIOR + weighed) / (PRIOR + F.col("n")), weighed / (PRIOR + F.col("n"))
+
+    def listed(when: Column) -> Column:
+        return F.collect_list(F.when(when, F.col("node")))
+
+    # A host's lists hold the branches of its template whose measure decides otherwise than their place, not pages or contents.
+    judged = tree.where(F.col("n") >= seen).groupBy("host").agg(
+        listed(F.col("importance") < threshold).alias("noisy"), listed(inside < threshold).alias("noisy_inside"), listed(beside >= threshold).alias("real_beside")
+    )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,19 +280,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         keys: dict[str, int] = {}
         for batch in batches:
             texts = []
-            for data, noisy in zip(batch.column("blocks"), batch.column("noisy").to_pylist(), strict=True):
-                gone = frozenset(noisy or ())
+            for data, *lists in zip(batch.column("blocks"), *(batch.column(c).to_pylist() for c in ("noisy", "noisy_inside", "real_beside")), strict=True):
+                gone, gone_inside, told_beside = (frozenset(x or ()) for x in lists)
                 found = json.loads(zlib.decompress(data.as_py()).decode("utf-8", "surrogatepass"))
                 has_main = any(main and not noise for _, noise, main, *_ in found)
                 kept = []
                 for path, noise, main, linked, text in found:
                     if path not in keys:
                         keys[path] = key64(path)
-                    if main or has_main:
-                        keep = main and not noise
+                    node = keys[path]
+                    if main:
+                        keep = node not in gone_inside
+                    elif has_main:
+                        keep = node in told_beside
                     else:
-                        keep = not noise and keys[path] not in gone and linked <= LINKED
-                    if keep:
+                        keep = node not in gone
+                    if keep and not noise and (linked <= LINKED or (main and path.endswith(_HEADINGS))):
                         kept.append(text)
                 if len(keys) > 50_000:
                     keys.clear()
@@ -288,7 +305,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = _with_host(pages, id_col, url_col, html_col)
     types = dict(rows.dtypes)
     packed = rows.mapInArrow(blocks, f"page_id {types['page_id']}, url {types['url']}, host long, blocks binary")
-    joined = packed.join(noisy, "host", "left").select("page_id", "url", "blocks", "noisy")
+    joined = packed.join(judged, "host", "left").select("page_id", "url", "blocks", "noisy", "noisy_inside", "real_beside")
     return joined.mapInArrow(prune, f"page_id {types['page_id']}, url {types['url']}, text string")
 
 
