@@ -10,9 +10,12 @@ near_dedup         of each class of 5-gram Jaccard 0.8 or more, one stays
 mixing             all stay, in the order of a Pfair schedule of their sources
 packing            pieces of at most 2048 tokens with their sequence and place
 
-Mixing drops nothing: its decision is the order. The written files are
-successive stretches of the mixture, and packing fills sequences from the rows
-that it reads together, so a sequence holds documents of one stretch.
+Mixing drops nothing: its decision is the order. Files keep no order when they
+are read, so packing takes the schedule's positions of the same rows again and
+packs stretch by stretch: numbers of sequences rise with the stretches of the
+mixture, and a sequence holds documents of one stretch. Only the few sequences
+that stretches leave open are filled from neighbouring ones; they stand at the
+end of the last of these. Column ``stretch`` tells a piece's own.
 """
 
 from __future__ import annotations
@@ -34,12 +37,16 @@ def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.keep_one_of_each(docs)
 
 
+#: Target weights by source; none: a power of the source's size.
+WEIGHTS = None
+
+
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.in_mixed_order(docs)
+    return mixing.in_mixed_order(docs, WEIGHTS)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, stretches=mixing.stretches(docs, packing.STRETCH_DOCS, WEIGHTS))
 
 
 STAGES = [

@@ -279,3 +279,24 @@ def test_pipeline(spark, sf_dir):
     assert counts[0] > counts[1] > counts[2] >= counts[3] == counts[4]
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_sequences_follow_the_mixture(spark, documents, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline.packing, "STRETCH_DOCS", 256)
+    sizes = {"a": 1600, "b": 400, "c": 100}
+    pairs = [(i, sentence(i, 20 + (90 if s == "b" else 0) + i * 37 % 60), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = corpus_pipeline.common.saved(corpus_pipeline._mixing(spark, documents(pairs).repartition(5), ""))
+    packed = corpus_pipeline._packing(spark, docs.orderBy(F.rand(1)), "").collect()
+    source = {i: s for i, _, s in pairs}
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(list(source))
+    places = {r["doc_id"]: r["position"] for r in mixing.mix(documents(pairs)).collect()}
+    assert all(r["stretch"] == places[r["doc_id"]] // 256 for r in packed)
+    packed.sort(key=lambda r: (r["sequence_id"], r["offset"]))
+    order = [r["doc_id"] for r in packed if r["piece"] == 0]
+    by_place = sorted(places, key=places.get)
+    for at in range(256, len(order), 256):
+        have, want = Counter(source[i] for i in order[:at]), Counter(source[i] for i in by_place[:at])
+        assert all(abs(have[s] - want[s]) <= 0.1 * at for s in sizes), (at, have, want)
+    assert max(r["stretch"] for r in packed) == len(order) // 256 and len({r["sequence_id"] >> 32 for r in packed}) > 4

@@ -186,5 +186,11 @@ def in_mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None =
     return placed.repartitionByRange(common.shuffle_width(docs.sparkSession), "__position").sortWithinPartitions("__position").drop("__position")
 
 
+def stretches(docs: DataFrame, docs_each: int, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """doc_id, source and number of the stretch of ``docs_each`` places of the mixture. Repeated rows stand together."""
+    places = mix(docs, weights, id_col=id_col, source_col=source_col).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "source")
+    return places.agg(F.floor(F.min("position") / docs_each).alias("stretch"))
+
+
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

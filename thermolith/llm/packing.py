@@ -1,10 +1,13 @@
 """Best-fit packing whose bin counts are certified by dual-feasible functions.
 
-Each partition packs its own pieces with best-fit decreasing and computes a
-lower bound on the sequences that its pieces need. Where the count meets the
-bound the partition is done. Where it does not, it gives up the pieces of its
-emptiest sequences; eight partitions' pieces meet, are packed again, and so
-on until one partition is left. Only pieces of the gap travel, never tokens.
+Each stretch (a partition, or a stretch of a mixture where one is given) packs
+its own pieces with best-fit decreasing and computes a lower bound on the
+sequences that its pieces need. Where the count meets the bound the stretch is
+done. Where it does not, it gives up the pieces of its emptiest sequences; the
+pieces of eight neighbouring stretches meet, are packed again, and so on until
+one stretch is left. Only pieces of the gap travel, never tokens. Sequence
+numbers rise with the stretches; what several stretches pack together stands
+at the end of the last of them.
 
 Cases: a null text is an empty one and gives a piece of the separator alone; a
 null doc_id stays null; repeated rows are packed as often as they occur; texts
@@ -27,15 +30,17 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 CAPACITY = 2048
-#: Partitions whose open pieces meet in the next round.
+#: Stretches whose open pieces meet in the next round.
 MERGE = 8
 #: Sequences given up for each one above the bound, and at least.
 OPEN_FOR_EACH, OPEN_LEAST = 4, 8
 #: Pieces that a first partition holds at least, so that what it wastes at its end is a small share.
 PIECES_EACH = 20_000
+#: Documents of a mixture that a stretch holds.
+STRETCH_DOCS = 4096
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long, open boolean, bins long, bound long"
+PACKED = PIECES + ", stretch long, sequence_id long, offset long, open boolean, bins long, bound long"
 
 
 def tokenized_pieces(
@@ -45,8 +50,9 @@ def tokenized_pieces(
     capacity: int = CAPACITY,
     id_col: str = "doc_id",
     text_col: str = "text",
+    source_col: str | None = None,
 ) -> DataFrame:
-    """Pieces of at most ``capacity`` ids of every document, its ids followed by the separator."""
+    """Pieces of at most ``capacity`` ids of every document, its ids followed by the separator; with a source column, beside its source."""
     vocabulary = vocabulary or tokens.default_vocabulary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,17 +60,20 @@ def tokenized_pieces(
         end = np.uint32(separator_id).astype("<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sources = batch.column(2).to_pylist() if source_col else [None] * batch.num_rows
+            for doc_id, text, source in zip(batch.column(0).to_pylist(), batch.column(1), sources, strict=True):
                 data = enc.encode(text.as_py() or "") + end
                 for n, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
-                    out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield _rows(out, PIECES)
+                    out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), *((source,) if source_col else ())))
+            yield _rows(out, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    schema = PIECES + (", source string" if source_col else "")
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
+    return docs.select(*columns, *([F.col(source_col).cast("string").alias("source")] if source_col else ())).mapInArrow(cut, schema)
 
 
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -134,10 +143,7 @@ def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-def _pack_partition(batches: Iterator[pa.RecordBatch], level: int, last: bool, capacity: int) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
+def _pack_stretch(table: pa.Table, number: int, last: bool, capacity: int) -> pa.Table:
     lengths = table.column("length").to_numpy()
     bins, offsets, left = best_fit_decreasing(lengths, capacity)
     bound = lower_bound(lengths, capacity)
@@ -147,7 +153,6 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], level: int, last: bool, c
         n = min(len(left), max(OPEN_LEAST, OPEN_FOR_EACH * gap))
         free[np.argsort(-left, kind="stable")[:n]] = True
         free &= left > 0
-    number = (level << 56) + (TaskContext.get().partitionId() << 32)
     for name, values in (
         ("sequence_id", bins + number),
         ("offset", offsets),
@@ -156,36 +161,64 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], level: int, last: bool, c
         ("bound", np.full(len(bins), bound)),
     ):
         table = table.append_column(name, pa.array(values))
-    yield from table.to_batches(max_chunksize=10_000)
+    return table
+
+
+def _by_stretch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, pa.Table]]:
+    """Runs of rows whose stretches are of the same ``width`` successive ones, with the run's number."""
+    held, own = [], None
+    for batch in batches:
+        runs = batch.column(batch.schema.get_field_index("stretch")).to_numpy() // width
+        borders = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(runs)]
+        for a, b in zip(borders, borders[1:], strict=False):
+            if a == b:
+                continue
+            if held and runs[a] != own:
+                yield own, pa.Table.from_batches(held)
+                held = []
+            own = int(runs[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield own, pa.Table.from_batches(held)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Give each piece (columns PIECES) a sequence and a place in it.
+    """Give each piece (columns PIECES, and ``stretch`` where the order of stretches counts) a sequence and a place in it.
 
-    The partitions of ``pieces`` are the first round's, so pieces that stand
-    near each other share sequences. A partition holds numbers only, about
-    forty bytes a piece. ``bins`` and ``bound`` tell the count and the bound of
-    the partition that closed the piece's sequence.
+    Without stretches the partitions of ``pieces`` are the first round's, so
+    pieces that stand near each other share sequences. A task holds the numbers
+    of one stretch only, about fifty bytes a piece. ``bins`` and ``bound`` tell
+    the count and the bound of the round that closed the piece's sequence.
     """
     columns = [c.split()[0] for c in PIECES.split(", ")]
-    closed, todo, level = [], pieces.select(columns), 0
+    spark, ordered = pieces.sparkSession, "stretch" in pieces.columns
+    if ordered:
+        pieces = pieces.select(*columns, F.col("stretch").cast("long"))
+        many = (pieces.agg(F.max("stretch")).first()[0] or 0) + 1
+        todo = pieces.repartition(common.shuffle_width(spark), "stretch").sortWithinPartitions("stretch", *columns)
+    else:
+        many = max(1, pieces.rdd.getNumPartitions())
+        todo = pieces.select(*columns, F.spark_partition_id().cast("long").alias("stretch"))
+    closed, level, width = [], 0, 1
     while True:
-        width = todo.rdd.getNumPartitions()
-        last = width <= 1
+        last = width >= many
 
-        def step(batches, level=level, last=last):
-            return _pack_partition(batches, level, last, capacity)
+        def step(batches, level=level, width=width, last=last):
+            for run, table in _by_stretch(batches, width):
+                end = min((run + 1) * width, many) - 1
+                yield from _pack_stretch(table, (end << 32) + (level << 28), last, capacity).to_batches(max_chunksize=10_000)
 
         done = common.saved(todo.mapInArrow(step, PACKED), f"packed-{level}")
         closed.append(done.where("not open"))
         if last:
             break
-        todo = done.where("open").select(columns).repartition(-(-width // MERGE))
-        level += 1
+        level, width = level + 1, width * MERGE
+        run = F.floor(F.col("stretch") / width)
+        todo = done.where("open").select(*columns, "stretch").repartition(min(common.shuffle_width(spark), -(-many // width)), run).sortWithinPartitions("stretch", *columns)
     out = closed[0]
     for more in closed[1:]:
         out = out.unionByName(more)
-    return out.drop("open")
+    return out.drop("open") if ordered else out.drop("open", "stretch")
 
 
 def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
@@ -196,8 +229,15 @@ def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
     return packed.where("offset = 0").count(), bound_of_counts(count, capacity)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize and pack whole documents. Encoding runs once: its pieces are a written table."""
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, stretches: DataFrame | None = None) -> DataFrame:
+    """Tokenize and pack whole documents. Encoding runs once: its pieces are a written table.
+
+    ``stretches`` (doc_id, source, stretch) tells which documents belong together, in which order.
+    """
+    if stretches is not None:
+        pieces = common.saved(tokenized_pieces(docs, vocabulary, capacity=capacity, source_col="source"), "pieces")
+        of = stretches.withColumnsRenamed({"doc_id": "__id", "source": "__source"})
+        return pack(common.saved(pieces.join(of, pieces["doc_id"].eqNullSafe(of["__id"]) & pieces["source"].eqNullSafe(of["__source"])), "placed"), capacity)
     pieces = common.saved(tokenized_pieces(docs, vocabulary, capacity=capacity), "pieces")
     return pack(pieces.coalesce(max(1, -(-pieces.count() // PIECES_EACH))), capacity)
 
