@@ -179,3 +179,10 @@ def test_components_of_links_that_come_out_differently_each_time(spark):
     links = spark.range(0, 200, 1, 4).mapInPandas(stars, "u long, v long")
     found = {r["node"]: r["root"] for r in components(links).collect()}
     assert found == {i: i // 10 * 10 for i in range(200)}
+
+
+def test_longest_row_of_a_repeated_id_stays(documents):
+    pairs = [(i, "a b" + " " * (k * 7 % 10), "s") for i in (5, None) for k in range(10)] + [(6, "xy", "s")]
+    pairs = [(i, t if i is not None else t + "z", s) for i, t, s in pairs]
+    kept = exact_dedup.drop_duplicates(documents(pairs).repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, len(r["text"])) for r in kept) == [(0, 13), (5, 12), (6, 2)]

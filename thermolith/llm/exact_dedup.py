@@ -152,6 +152,8 @@ def _folded(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa
             seen[0] += n
             if doc_id is not None and (seen[2] is None or (chars, -doc_id) > (seen[1], -seen[2])):
                 seen[1:] = chars, doc_id
+            elif doc_id is None and seen[2] is None:
+                seen[1] = max(seen[1], chars)
         if limit and len(index) > limit:
             yield from _rows(index)
             index = CuckooIndex()
@@ -226,12 +228,12 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
     keys = common.saved(keyed(docs, id_col, text_col), "keys")
-    stay = common.saved(classes(keys).select(F.col("keep_id").alias("__id"), F.col("key").alias("__key")), "classes")
+    stay = common.saved(classes(keys).select(F.col("keep_id").alias("__id"), F.col("key").alias("__key"), F.col("chars").alias("__chars")), "classes")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.unhex(F.sha2(F.translate(text, _BLANKS, ""), 256))})
-    match = own["__id"].eqNullSafe(stay["__id"]) & (own["__key"] == stay["__key"])
+    own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.unhex(F.sha2(F.translate(text, _BLANKS, ""), 256)), "__chars": F.char_length(text).cast("long")})
+    match = own["__id"].eqNullSafe(stay["__id"]) & (own["__key"] == stay["__key"]) & (own["__chars"] == stay["__chars"])
     kept = own.join(stay, match, "left_semi")
-    # Rows that repeat id and key are copies of each other. Texts travel once more only if there are any.
+    # Rows that repeat id, key and length are copies of each other, but for the kind of white space. Texts travel once more only if there are any.
     again = keys.groupBy("doc_id", "key").count().where("count > 1")
     return (kept.dropDuplicates(["__id", "__key"]) if again.limit(1).count() else kept).select(*docs.columns)
 
