@@ -1,34 +1,43 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree whose nodes are paths of block
-elements with their presentation (tag, class and id words without numbers).
-For each node the tree counts on how many pages each content and each sequence
-of children occurs. A node whose contents all differ has importance 1; a node
-that says the same on every page has importance 0. The importance of a branch
-is mostly that of its content, with a share for its presentation. Each page
-then loses its branches of low importance.
-
-Pages say some things themselves. ``article`` or ``main`` is a prior that
-counts as much as a few measured pages: of importance 1 for what is inside and
-0 for what stands beside it. The measured importance then decides in both
-places: an unnamed branch that repeats in articles goes, and text beside an
-article that differs from page to page stays. A branch seen on few pages can't
-be measured; its place decides. Branches named as menus, adverts, forms,
-comments and so on have importance 0 whatever is measured, as many differ from
-page to page. A branch that is mostly links goes, except headings of articles.
-
-Pages of a host that are equal but for branches so named are copies and count
-once, so that copies of a page don't make its content noise.
-
-Counts are rows (host, node, kind, value, copy) that Spark makes distinct and
-adds up in steps, so a host with a third of all pages is one more key for
-partial sums, not one task's tree. Pages meet their host's list of noisy nodes by a join that adaptive
-execution may split; they travel as compressed blocks, not as HTML.
+elements with their presentation (tag, class and id words without numbers). A
+node's content importance is its normalised entropy with the terms of repeated
+contents left out: the share of its characters that no other page of the host
+says. As few pages repeat little, that share is carried on to a host of
+REFERENCE pages, which makes a small host's figures mean what a large one's do.
+A node of which pages say the same has importance 0, one of which each page
+says its own 1. The entropy of a node's sequences of children gives the
+importance of its presentation, a small share of the whole.
+
+What one host can't tell yet is shrunk, in this order: paths by tags alone over
+all hosts towards a prior of the place; paths with classes over all hosts, and
+paths by tags of the host, towards those; then the host's own paths with
+classes. A host is one witness of bounded weight for others, and its own pages
+outweigh all of that as they grow in number. The prior of a place is high
+inside ``article``/``main``, low beside them, and lowest in places named as
+menus, adverts, footers and so on. A heading is as important as the blocks that
+it stands among, if that is more. Blocks of low importance go, and those that
+are mostly links, except headings of articles. What no measure of repetition
+can tell goes by its tags or names alone: forms, hidden parts, readers' comments.
+
+Pages of a host that share their three longest blocks are copies of one page and
+count once, so that copies don't make a page's content noise.
+
+Counts are rows (host, node, value, copy) that Spark makes distinct and adds up
+in steps, so a host with a third of all pages is one more key for partial sums,
+not one task's tree. Pages meet their host's list of unimportant nodes by a join
+that adaptive execution may split. A list holds paths by tags, and paths with
+classes that a hundredth of the host's pages have, so it grows with the
+template and not with the pages. Pages are parsed for the counts and again for
+the texts: keeping the blocks of the first time would cost more disk than the
+pages themselves.
 
 Cases: a null html or one without text gives an empty text; a null or odd url
 belongs to the host without name; repeated rows are extracted each; cut-off
-pages, open elements and unknown tags are read as far as they go; equal
-contents count together; an empty table gives no rows; other columns are
+pages, open elements and unknown tags are read as far as they go; pages of any
+length are read whole; equal contents count together, and importances that tie
+with the threshold stay; an empty table gives no rows; other columns are
 ignored whatever their names.
 """
 
@@ -47,13 +56,24 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Share of a branch's importance that its presentation has.
+#: Share of a node's importance that its presentation has.
 PRESENTATION = 0.1
-#: Importance below which a branch goes, and on how many pages it must occur to be judged.
-THRESHOLD, SEEN = 0.6, 4
-#: Pages that the prior of a place inside or beside an article counts as.
-PRIOR = 4
-#: A branch goes if links hold more than this share of it.
+#: Importance below which a node goes.
+THRESHOLD = 0.46
+#: Pages of the host on which importances are stated.
+REFERENCE = 200
+#: Chances that two pages say the same, before anything is measured, and pairs of pages that each counts as.
+PLAIN, MAIN, BESIDE, NAMED, NAMED_MAIN = range(5)
+CHANCE, PAIRS = (0.0005, 0.0001, 0.006, 0.02, 0.02), (1, 1, 1, 40, 5)
+#: Pairs of pages (times PAIRS) that the prior of a place, and other hosts' and tags' measure, count as.
+PLACE_PAIRS, OTHER_PAIRS = 300.0, 200.0
+#: Pairs of pages that a host counts as for other hosts at most, and the chance at most.
+WITNESS_PAIRS, WITNESS_CHANCE = 50.0, 0.02
+#: Share of a host's pages from which a path with classes is judged beside its path by tags.
+JUDGED = 0.01
+#: Pages that share so many of their longest blocks are copies.
+LONGEST = 3
+#: A block goes if links hold more than this share of it.
 LINKED = 0.5
 
 # Elements by their part in HTML.
@@ -68,19 +88,21 @@ _CLOSED_BY_SAME = {
     "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",),
 }
 _PARAGRAPH_STAYS = frozenset(("option", "optgroup"))
-_NOISE_TAGS = frozenset(
-    "head nav footer aside form script style noscript template button select option textarea iframe svg canvas object "
-    "dialog menu fieldset audio video math".split()
+_GONE_TAGS = frozenset(
+    "head form script style noscript template button select option textarea iframe svg canvas object dialog fieldset "
+    "audio video math".split()
 )
+_NAMED_TAGS = frozenset("nav footer aside menu".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 _HEADINGS = ("/h1", "/h2", "/h3", "/h4", "/h5", "/h6")
-_NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_NOISE_WORDS = frozenset(
+_GONE_ROLES = frozenset("search form dialog alertdialog".split())
+_NAMED_ROLES = frozenset("navigation banner contentinfo complementary alert menu menubar toolbar".split())
+_GONE_WORDS = frozenset("comment comments disqus respond replies".split())
+_NAMED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion sidebar "
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot cookie cookies consent gdpr "
     "notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social "
-    "related recommended comment comments disqus respond replies widget widgets toolbar pagination pager copyright "
-    "legal skip hidden noprint".split()
+    "related recommended widget widgets toolbar pagination pager copyright legal skip hidden noprint".split()
 )
 
 _TOKEN = re.compile(
@@ -98,10 +120,10 @@ def key64(text: str) -> int:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "noise", "main", "children")
+    __slots__ = ("tag", "path", "gone", "named", "main", "children")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
+    def __init__(self, tag: str, path: str, gone: bool, named: bool, main: bool):
+        self.tag, self.path, self.gone, self.named, self.main, self.children = tag, path, gone, named, main, []
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -110,46 +132,56 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _opened(tag: str, text: str, parent: _Element) -> _Element:
     attributes = _attributes(text)
+    role = attributes.get("role", "")
     words = _NAME_WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}") if attributes else []
-    noise = parent.noise or tag in _NOISE_TAGS or (tag == "header" and not parent.main)
-    if attributes and not noise:
-        noise = (
-            attributes.get("role", "") in _NOISE_ROLES
-            or "hidden" in attributes
-            or attributes.get("aria-hidden") == "true"
-            or "display:none" in attributes.get("style", "").replace(" ", "")
-            or (tag not in ("html", "body", "main") and (tag != "article" or parent.main) and any(w in _NOISE_WORDS and not (parent.main and w == "header") for w in words))
-            or (tag == "article" and not {"comment", "comments", "ad", "advert", "promo", "related"}.isdisjoint(words))
-        )
-    main = parent.main or tag in _MAIN_TAGS or attributes.get("role") == "main"
-    return _Element(tag, f"{parent.path}/{tag}{'.' + '.'.join(words) if words else ''}", noise, main)
-
-
-def parse(page: str) -> tuple[list[tuple[str, bool, bool, float, str]], list[tuple[str, str]]]:
-    """Blocks (path, noise, main, share of links, text) in page order, and elements (path, children) of a page."""
-    stack = [_Element("", "", False, False)]
+    gone = (
+        parent.gone
+        or tag in _GONE_TAGS
+        or role in _GONE_ROLES
+        or "hidden" in attributes
+        or attributes.get("aria-hidden") == "true"
+        or "display:none" in attributes.get("style", "").replace(" ", "")
+        or (tag not in ("html", "body") and not _GONE_WORDS.isdisjoint(words))
+    )
+    names = _NAMED_WORDS.intersection(words) if tag not in ("html", "body", "main") and (tag != "article" or parent.main) else ()
+    if parent.main and "header" in names:
+        names = names - {"header"}
+    named = parent.named or tag in _NAMED_TAGS or (tag == "header" and not parent.main) or role in _NAMED_ROLES or bool(names)
+    main = parent.main or tag in _MAIN_TAGS or role == "main"
+    mark = "#main" if role == "main" else ""
+    return _Element(tag, f"{parent.path}/{tag}{mark}{'.' + '.'.join(words) if words else ''}", gone, named, main)
+
+
+def parse(page: str) -> tuple[list[tuple[str, int, float, str]], list[tuple[str, str]]]:
+    """Blocks (path, place, share of links, text) in page order, and elements (path, children) of a page; what its tags rule out is left out."""
+    stack = [_Element("", "", False, False, False)]
     blocks, elements, parts = [], [], []
-    linked = in_link = 0
+    linked, in_link = 0, -1  # the depth at which a link opened
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
             e = stack[-1]
-            blocks.append((e.path, e.noise, e.main, linked / len(text), text))
+            if not e.gone:
+                blocks.append((e.path, (NAMED_MAIN if e.main else NAMED) if e.named else MAIN if e.main else PLAIN, linked / len(text), text))
         parts.clear()
         linked = 0
 
     def close(depth: int) -> None:
+        nonlocal in_link
         while len(stack) > depth:
             e = stack.pop()
-            elements.append((e.path, " ".join(dict.fromkeys(e.children))))
+            if not e.gone:
+                elements.append((e.path, " ".join(dict.fromkeys(e.children))))
+        if in_link > len(stack):
+            in_link = -1
 
     def add(text: str) -> None:
         nonlocal linked
         if text:
             parts.append(html_lib.unescape(text) if "&" in text else text)
-            linked += len(text) * bool(in_link)
+            linked += len(text) * (in_link >= 0)
 
     at = 0
     while m := _TOKEN.search(page, at):
@@ -166,7 +198,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, float, str]], list[tup
             parts.append(" " if tag == "br" else "")
         elif tag in _INLINE:
             if tag == "a":
-                in_link = not ends
+                in_link = -1 if ends else len(stack)
         elif tag in _VOID:
             if tag == "hr":
                 flush()
@@ -180,7 +212,6 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, float, str]], list[tup
                     break
         else:
             flush()
-            in_link = 0
             if stack[-1].tag == "p" and tag not in _PARAGRAPH_STAYS:
                 close(len(stack) - 1)
             if tag in _CLOSED_BY_SAME or tag in ("dt", "dd"):
@@ -199,11 +230,15 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, float, str]], list[tup
     add(page[at:])
     flush()
     close(1)
+    if any(place == MAIN for _, place, *_ in blocks):
+        blocks = [(path, BESIDE if place == PLAIN else place, *rest) for path, place, *rest in blocks]
     return blocks, elements
 
 
 HOST = r"^[a-z][a-z0-9+.\-]*://([^/?#]*)"
 CONTENT, CHILDREN = 0, 1
+_CLASSES = re.compile(r"\.[^/]*")
+FOUND = "host long, node long, tags long, parent long, heading int, kind int, value long, copy long, chars long, chance double, pairs double"
 
 
 def _with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -211,64 +246,132 @@ def _with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).alias("html"))
 
 
-def style_tree(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Host, node, distinct pages and measured importance of every style node that holds content."""
+class _Keys(dict):
+    """Paths to the keys of their node, their path by tags and their parent; cleared when many."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[str, int] = {}
+    def __missing__(self, path: str) -> tuple[int, int, int]:
+        if len(self) > 50_000:
+            self.clear()
+        self[path] = found = key64(path), key64(_CLASSES.sub("", path)), key64(path.rpartition("/")[0])
+        return found
+
+
+def _copy(blocks: list[tuple[str, int, float, str]], values: list[int]) -> int:
+    """The key of a page's longest blocks, which copies of the page share."""
+    longest = sorted(zip((-len(text) for *_, text in blocks), values, strict=True))[:LONGEST]
+    return key64(" ".join(str(v) for _, v in longest))
 
-        def key(text: str) -> int:
-            if text not in keys:
-                if len(keys) > 50_000:
-                    keys.clear()
-                keys[text] = key64(text)
-            return keys[text]
 
+def counted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row for each host, node, content (or sequence of children) and distinct page."""
+    fields = [f.split() for f in FOUND.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = _Keys()
         for batch in batches:
-            rows: list[tuple[int, int, int, int, int, int]] = []
+            rows: list[tuple] = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 blocks, elements = parse(page.as_py() or "")
-                copy = key64("\0".join(f"{path}\0{text}" for path, noise, *_, text in blocks if not noise))
-                seen: set[tuple[int, int]] = set()
-                for node, kind, value in dict.fromkeys(
-                    [*((key(path), CONTENT, key64(text)) for path, *_, text in blocks), *((key(path), CHILDREN, key(children)) for path, children in elements if children)]
-                ):
-                    rows.append((host, node, kind, value, copy, (node, kind) not in seen))
-                    seen.add((node, kind))
+                values = [key64(text) for *_, text in blocks]
+                copy = _copy(blocks, values)
+                own = {(path, value): (place, len(text)) for (path, place, _, text), value in zip(blocks, values, strict=True)}
+                for (path, value), (place, chars) in own.items():
+                    rows.append((host, *keys[path], int(path.endswith(_HEADINGS)), CONTENT, value, copy, chars, CHANCE[place], PAIRS[place]))
+                for path, children in dict.fromkeys(elements):
+                    if children:
+                        rows.append((host, *keys[path], 0, CHILDREN, key64(children), copy, 0, 0, 0))
             for i in range(0, len(rows), 20_000):
                 columns = zip(*rows[i : i + 20_000], strict=True)
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(map(int, c), t) for c, t in zip(columns, types, strict=True)], ["host", "node", "kind", "value", "copy", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
-    found = _with_host(pages, id_col, url_col, html_col).select("host", "html").mapInArrow(count, "host long, node long, kind int, value long, copy long, first int")
-    # A page says a content once however often it repeats it, and so do its copies. ``first`` adds up to pages.
-    once = found.groupBy("host", "node", "kind", "value", "copy").agg(F.max("first").alias("first"))
-    counts = once.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"), F.sum("first").alias("first"))
-    sums = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("n"), F.sum("first").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    entropy = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("clogc") / F.col("n") / F.log("pages"))).otherwise(1.0)
+    found = _with_host(pages, id_col, url_col, html_col).select("host", "html").mapInArrow(count, FOUND)
+    once = found.groupBy("host", "node", "tags", "parent", "heading", "kind", "value", "copy")
+    return once.agg(F.max("chars").alias("chars"), F.avg("chance").alias("chance"), F.avg("pairs").alias("pairs"))
 
-    def of(kind: int, what: Column) -> Column:
-        return F.max(F.when(F.col("kind") == kind, what))
 
-    nodes = sums.groupBy("host", "node").agg(
-        of(CONTENT, F.col("pages")).alias("n"), of(CONTENT, entropy).alias("content"), F.coalesce(of(CHILDREN, entropy), F.lit(1.0)).alias("children")
-    )
-    importance = F.col("content") * (1 - PRESENTATION) + F.col("children") * PRESENTATION
-    return nodes.where("n is not null").select("host", "node", "n", importance.alias("importance"))
+def _measured(contents: DataFrame, node: str) -> DataFrame:
+    """Distinct pages ``n`` and the share of characters that one page alone says, of every node; prior chance and weight of its places."""
+    at = ["host", node]
+    values = contents.groupBy(*at, "value").agg(F.count_distinct("copy").alias("c"), F.max("chars").alias("chars"))
+    said = values.groupBy(*at).agg(F.sum(F.col("chars") * F.col("c")).alias("said"), F.sum(F.when(F.col("c") == 1, F.col("chars")).otherwise(0)).alias("own"))
+    extra = [F.first("tags").alias("tags"), F.first("parent").alias("parent"), F.max("heading").alias("heading")] if node == "node" else []
+    seen = contents.groupBy(*at).agg(F.count_distinct("copy").alias("n"), F.avg("chance").alias("chance"), F.avg("pairs").alias("pairs"), *extra)
+    return seen.join(said, at).withColumn("alone", F.col("own") / F.col("said"))
+
+
+def _alike(n: Column, alone: Column) -> tuple[Column, Column]:
+    """Pairs of pages of a node, and the number of them that say the same, as the share of characters said alone tells.
+
+    Beyond REFERENCE pages the share stands for itself and is no longer carried on.
+    """
+    pages = F.least(n, F.lit(REFERENCE))
+    return pages * (pages - 1) / 2, F.when(n > 1, pages / 2 * -F.log(F.greatest(alone, 1 / (2 * n)))).otherwise(0.0)
+
 
+def _carried(chance: Column) -> Column:
+    """The share that stays alone on a host of REFERENCE pages, if two pages say the same with this chance."""
+    return F.exp(-chance * (REFERENCE - 1))
+
+
+def style_tree(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Every style node of a host that holds content: host, node, tags (its path without classes), distinct pages ``n``, ``importance``
+    as measured on the host alone, and ``judged``, the importance after shrinking; by tags alone, ``tags_judged``."""
+    once = common.saved(counted(pages, id_col, url_col, html_col), "contents")
+    contents = once.where(F.col("kind") == CONTENT)
+    by_node, by_tags = (_measured(contents, node) for node in ("node", "tags"))
+
+    def over_hosts(table: DataFrame, node: str) -> DataFrame:
+        pairs, alike = _alike(F.col("n"), F.col("alone"))
+        weight = F.least(pairs, F.lit(WITNESS_PAIRS))
+        chance = F.when(pairs > 0, F.least(alike / pairs, F.lit(WITNESS_CHANCE))).otherwise(0.0)
+        return table.groupBy(node).agg(
+            F.sum(weight).alias("all_pairs"), F.sum(weight * chance).alias("all_alike"), F.avg("chance").alias("place"), F.avg("pairs").alias("held")
+        )
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, seen: int = SEEN) -> DataFrame:
+    all_tags = over_hosts(by_tags, "tags")
+    held = F.col("held") * PLACE_PAIRS
+    all_tags = all_tags.select("tags", ((held * F.col("place") + F.col("all_alike")) / (held + F.col("all_pairs"))).alias("tags_chance"))
+    all_nodes = over_hosts(by_node, "node").select("node", "all_pairs", "all_alike")
+    pairs, alike = _alike(F.col("n"), F.col("alone"))
+    held = F.col("pairs") * OTHER_PAIRS
+    own_tags = by_tags.join(all_tags, "tags").select("host", "tags", "tags_chance", ((held * F.col("tags_chance") + alike) / (held + pairs)).alias("own_chance"))
+    nodes = by_node.join(own_tags, ["host", "tags"]).join(all_nodes, "node")
+    others = (PLACE_PAIRS * F.col("tags_chance") + F.col("all_alike")) / (PLACE_PAIRS + F.col("all_pairs"))
+    nodes = nodes.withColumn("chance", (held * (others + F.col("own_chance")) / 2 + alike) / (held + pairs))
+
+    c = once.where(F.col("kind") == CHILDREN).groupBy("host", "node", "value").agg(F.count("*").alias("c"))
+    shape = c.groupBy("host", "node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    shape = shape.select("host", "node", F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("clogc") / F.col("m") / F.log("m"))).otherwise(1.0).alias("shape"))
+    nodes = nodes.join(shape, ["host", "node"], "left").withColumn("shape", F.coalesce("shape", F.lit(1.0)))
+
+    def whole(content: Column) -> Column:
+        return content * (1 - PRESENTATION) + F.col("shape") * PRESENTATION
+
+    grown = F.pow("alone", F.greatest(F.lit(1.0), (REFERENCE - 1) / (F.col("n") - 1)))
+    nodes = nodes.select(
+        "host", "node", "tags", "parent", "heading", "n", "said",
+        whole(F.when(F.col("n") > 1, grown).otherwise(1.0)).alias("importance"),
+        whole(_carried(F.col("chance"))).alias("judged"),
+        whole(_carried(F.col("own_chance"))).alias("tags_judged"),
+    )
+    branch = nodes.groupBy("host", "parent").agg(*((F.sum(F.col("said") * F.col(x)) / F.sum("said")).alias(f"branch_{x}") for x in ("judged", "tags_judged")))
+    nodes = nodes.join(branch, ["host", "parent"])
+    headed = {x: F.when(F.col("heading") == 1, F.greatest(x, f"branch_{x}")).otherwise(F.col(x)) for x in ("judged", "tags_judged")}
+    return nodes.withColumns(headed).select("host", "node", "tags", "n", "importance", "judged", "tags_judged")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url and main text of each page."""
-    tree = style_tree(pages, id_col, url_col, html_col)
-    weighed = F.col("n") * F.col("importance")
-    inside, beside = (PRIOR + weighed) / (PRIOR + F.col("n")), weighed / (PRIOR + F.col("n"))
+    tree = common.saved(style_tree(pages, id_col, url_col, html_col), "style-tree")
+    most = tree.groupBy("host").agg(F.max("n").alias("most")).withColumnRenamed("host", "h")
 
-    def listed(when: Column) -> Column:
-        return F.collect_list(F.when(when, F.col("node")))
+    def listed(name: str, when: Column) -> Column:
+        return F.collect_set(F.when(when, F.col(name)))
 
-    # A host's lists hold the branches of its template whose measure decides otherwise than their place, not pages or contents.
-    judged = tree.where(F.col("n") >= seen).groupBy("host").agg(
-        listed(F.col("importance") < threshold).alias("noisy"), listed(inside < threshold).alias("noisy_inside"), listed(beside >= threshold).alias("real_beside")
+    low, tags_low, told = F.col("judged") < threshold, F.col("tags_judged") < threshold, F.col("n") >= F.col("most") * JUDGED
+    judged = tree.join(most, F.col("host") == F.col("h")).groupBy("host").agg(
+        listed("tags", tags_low).alias("gone_tags"), listed("node", told & low).alias("gone"), listed("node", told & ~low & tags_low).alias("kept")
     )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,35 +380,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(data, pa.binary())], ["page_id", "url", "host", "blocks"])
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[str, int] = {}
+        keys = _Keys()
         for batch in batches:
             texts = []
-            for data, *lists in zip(batch.column("blocks"), *(batch.column(c).to_pylist() for c in ("noisy", "noisy_inside", "real_beside")), strict=True):
-                gone, gone_inside, told_beside = (frozenset(x or ()) for x in lists)
-                found = json.loads(zlib.decompress(data.as_py()).decode("utf-8", "surrogatepass"))
-                has_main = any(main and not noise for _, noise, main, *_ in found)
-                kept = []
-                for path, noise, main, linked, text in found:
-                    if path not in keys:
-                        keys[path] = key64(path)
-                    node = keys[path]
-                    if main:
-                        keep = node not in gone_inside
-                    elif has_main:
-                        keep = node in told_beside
-                    else:
-                        keep = node not in gone
-                    if keep and not noise and (linked <= LINKED or (main and path.endswith(_HEADINGS))):
-                        kept.append(text)
-                if len(keys) > 50_000:
-                    keys.clear()
-                texts.append("\n\n".join(kept))
+            for data, *lists in zip(batch.column("blocks"), *(batch.column(c).to_pylist() for c in ("gone_tags", "gone", "kept")), strict=True):
+                gone_tags, gone, kept = (frozenset(x or ()) for x in lists)
+                out = []
+                for path, place, linked, text in json.loads(zlib.decompress(data.as_py()).decode("utf-8", "surrogatepass")):
+                    node, tags, _ = keys[path]
+                    low = node in gone or (tags in gone_tags and node not in kept)
+                    if not low and (linked <= LINKED or (place == MAIN and path.endswith(_HEADINGS))):
+                        out.append(text)
+                texts.append("\n\n".join(out))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = _with_host(pages, id_col, url_col, html_col)
     types = dict(rows.dtypes)
     packed = rows.mapInArrow(blocks, f"page_id {types['page_id']}, url {types['url']}, host long, blocks binary")
-    joined = packed.join(judged, "host", "left").select("page_id", "url", "blocks", "noisy", "noisy_inside", "real_beside")
+    joined = packed.join(judged, "host", "left").select("page_id", "url", "blocks", "gone_tags", "gone", "kept")
     return joined.mapInArrow(prune, f"page_id {types['page_id']}, url {types['url']}, text string")
 
 
