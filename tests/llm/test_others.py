@@ -36,7 +36,7 @@ def test_neighbours_of_hard_vectors(spark):
     rows += [(3000, None), (3100, [0.0, 0.0, 0.0]), (3200, [1.0, None, 2.0]), (3300, [float("nan"), 1.0, 1.0]), (3400, [float("inf"), 1.0, 1.0]), (3500, [1.0, 2.0]), (None, [1.0, 2.0, 3.0])]
     frame = spark.createDataFrame([(*r, 1, 2.0, 3) for r in rows], "vec_id bigint, embedding array<double>, rep int, score double, block int")
     found = {}
-    for r in neighbours.nearest(frame, F.col("vec_id") % 100 == 0, index_rows=64, query_rows=2, least=1000).collect():
+    for r in neighbours.nearest(frame, F.col("vec_id") % 100 == 0, block_rows=64, pairs_each=20_000, asked=1e9).collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     want = brute_nearest(rows, 10)
     assert set(found) == set(want)
@@ -47,17 +47,70 @@ def test_neighbours_of_hard_vectors(spark):
     assert neighbours.nearest(frame.where("vec_id in (100, 101)"), F.col("vec_id") % 100 == 0).count() == 1
 
 
-def test_recall_of_the_forest():
+def plain_search(table, k=10):
+    """Queries' nearest rows by brute force, and the rows."""
     import pyarrow.dataset as ds
 
-    table = ds.dataset("/root/testdata/sf0.1/embeddings.parquet").to_table(columns=["embedding"])
-    vectors = np.array(table.column(0).to_pylist())
-    queries, hits = vectors[::20], 0
-    least = max(neighbours.LEAST, math.ceil(neighbours.SHARE * len(vectors)))
-    for q, at in zip(queries, neighbours.Forest(vectors).candidates(queries, least), strict=True):
-        assert least <= len(at) < len(vectors)
-        hits += len(set(np.argsort(((vectors - q) ** 2).sum(axis=1))[1:11]) & set(at.tolist()))
-    assert hits / (10 * len(queries)) >= 0.95
+    rows = ds.dataset(f"{table}/embeddings.parquet").to_table(columns=["vec_id", "embedding"])
+    ids, vectors = rows.column(0).to_numpy(), np.array(rows.column(1).to_pylist())
+    out = {}
+    for q in np.flatnonzero(ids % 100 == 0):
+        far = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        out[int(ids[q])] = [(int(ids[i]), far[i]) for i in np.lexsort((ids, far))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_of_the_query(spark, sf):
+    """The query as registered, against brute force."""
+    want = plain_search(f"/root/testdata/sf{sf}")
+    found = {}
+    for r in QUERIES["op2_prefix_forest"](spark, f"/root/testdata/sf{sf}").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == set(want)
+    hits = 0
+    for q, near in found.items():
+        near.sort()
+        exact = dict(want[q])
+        assert [r for r, *_ in near] == list(range(1, 11)) and [(s, i) for _, i, s in near] == sorted((s, i) for _, i, s in near)
+        assert all(s == pytest.approx(exact[i], rel=1e-12) for _, i, s in near if i in exact)
+        hits += len({i for _, i, _ in near} & set(exact))
+    assert hits >= 0.9 * 10 * len(want)
+
+
+def test_the_forest_looks_at_a_share_that_falls(spark):
+    shares = []
+    for sf in ("0.01", "0.1"):
+        rows = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").selectExpr("vec_id rep", "cast(embedding as array<double>) v")
+        n = rows.count()
+        named = neighbours.candidates(rows, rows.where("rep % 100 = 0"), n, 10).collect()
+        seen: dict[int, set] = {}
+        for r in named:
+            seen.setdefault(r["rep"], set()).update(np.frombuffer(r["ids"], np.int64).tolist())
+        shares.append(np.mean([len(x) for x in seen.values()]) / n)
+    assert shares[1] < 0.8 * shares[0] < 0.5, shares
+
+
+def test_ranges_by_prefix_and_in_parts_find_the_same(spark, monkeypatch):
+    """Sorted arrays dealt by prefix, by parts of a prefix and in several chunks hold what one array holds, down to their prefix."""
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=8) + rng.normal(size=(150, 8)) * 0.02  # a third of all rows about one place
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*near, *rng.normal(size=(300, 8))])], "rep long, v array<double>").repartition(4)
+    queries = rows.where("rep % 9 = 0")
+
+    def pairs(**options):
+        out = neighbours.candidates(rows, queries, 450, 5, asked=60.0, blocks=3, **options).collect()
+        return {(r["rep"], i) for r in out for i in np.frombuffer(r["ids"], np.int64).tolist()}
+
+    whole = pairs()
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 16)
+    dealt = pairs(range_rows=40)
+    assert dealt <= whole and len(dealt) > 0.5 * len(whole)
+    found = {"rep": [], "near": []}
+    for r in neighbours.nearest(rows.selectExpr("rep vec_id", "v embedding"), F.col("vec_id") % 9 == 0, 5, asked=1.0, range_rows=40).collect():
+        found["rep"].append(r["query_id"])
+    assert Counter(found["rep"]) == {i: 5 for i in range(0, 450, 9)}  # whoever finds too few ascends to the root
 
 
 # Mixing
