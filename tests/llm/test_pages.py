@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from conftest import sentence
@@ -14,10 +14,8 @@ from thermolith.llm import page_text as pt
 
 
 def plain_tree(pages):
-    """(host, path) to measured and judged importance, by plain loops over all pages."""
-    said = {level: defaultdict(lambda: defaultdict(set)) for level in ("node", "tags")}
-    place, shapes, tags_of, heading = defaultdict(list), defaultdict(list), {}, {}
-    seen = set()
+    """(host, path) to distinct pages, measured and judged importance, by plain loops over all pages."""
+    said, place, shapes, seen = defaultdict(lambda: defaultdict(set)), defaultdict(dict), defaultdict(lambda: defaultdict(set)), {}
     for url, html in pages:
         host = re.match(pt.HOST, (url or "").lower())
         host = host[1] if host else ""
@@ -25,69 +23,55 @@ def plain_tree(pages):
         longest = tuple(sorted((-len(t), pt.key64(t)) for *_, t in blocks)[:3])
         for path, spot, _, text in blocks:
             tags = re.sub(r"\.[^/]*", "", path)
-            tags_of[host, path] = tags
-            heading[host, path] = bool(re.search(r"/h[1-6]$", path))
-            for level, name in (("node", path), ("tags", tags)):
-                said[level][host, name][text].add(longest)
-            if (host, path, text, longest) not in seen:
-                seen.add((host, path, text, longest))
-                place["node", host, path].append(spot)
-                place["tags", host, tags].append(spot)
-        for path, children in dict.fromkeys(elements):
-            if children and (host, path, children, longest) not in seen:
-                seen.add((host, path, children, longest))
-                shapes[host, path].append(children)
-
-    def figures(level):
-        out = {}
-        for key, texts in said[level].items():
-            n = len(set().union(*texts.values()))
-            total = sum(len(t) * len(c) for t, c in texts.items())
-            alone = sum(len(t) for t, c in texts.items() if len(c) == 1) / total
-            spots = place[(level, *key)]
-            few = min(n, pt.REFERENCE)
-            alike = few / 2 * -math.log(max(alone, 1 / (2 * n))) if n > 1 else 0.0
-            out[key] = n, alone, total, few * (few - 1) / 2, alike, sum(pt.CHANCE[s] for s in spots) / len(spots), sum(pt.PAIRS[s] for s in spots) / len(spots)
-        return out
-
-    nodes, tags = figures("node"), figures("tags")
-
-    def pooled(table):
-        out = defaultdict(lambda: [0.0, 0.0, [], []])
-        for (_, name), (_, _, _, pairs, alike, chance, held) in table.items():
-            weight = min(pairs, pt.WITNESS_PAIRS)
-            out[name][0] += weight
-            out[name][1] += weight * min(alike / pairs, pt.WITNESS_CHANCE) if pairs else 0.0
-            out[name][2].append(chance)
-            out[name][3].append(held)
-        return out
-
-    all_tags, all_nodes, judged, measured = pooled(tags), pooled(nodes), {}, {}
-    for (host, path), (n, alone, _, pairs, alike, _, held) in nodes.items():
-        name = tags_of[host, path]
-        weight, hits, chances, helds = all_tags[name]
-        first = sum(helds) / len(helds) * pt.PLACE_PAIRS
-        first, _ = (first * sum(chances) / len(chances) + hits) / (first + weight), None
-        _, _, _, t_pairs, t_alike, _, t_held = tags[host, name]
-        own = (t_held * pt.OTHER_PAIRS * first + t_alike) / (t_held * pt.OTHER_PAIRS + t_pairs)
-        weight, hits, *_ = all_nodes[path]
-        others = (pt.PLACE_PAIRS * first + hits) / (pt.PLACE_PAIRS + weight)
-        chance = (held * pt.OTHER_PAIRS * (others + own) / 2 + alike) / (held * pt.OTHER_PAIRS + pairs)
-        count = Counter(shapes[host, path])
-        m = sum(count.values())
-        shape = -sum(c / m * math.log(c / m) for c in count.values()) / math.log(m) if m > 1 else 1.0
-        measured[host, path] = 0.9 * (alone ** max(1.0, (pt.REFERENCE - 1) / (n - 1)) if n > 1 else 1.0) + 0.1 * shape
-        judged[host, path] = 0.9 * math.exp(-chance * (pt.REFERENCE - 1)) + 0.1 * shape
-    branch = defaultdict(lambda: [0.0, 0.0])
-    for (host, path), (_, _, total, *_) in nodes.items():
-        at = branch[host, path.rpartition("/")[0]]
-        at[0] += total * judged[host, path]
-        at[1] += total
-    for key, low in judged.items():
-        a, b = branch[key[0], key[1].rpartition("/")[0]]
-        if heading[key]:
-            judged[key] = max(low, a / b)
-    return nodes, measured, judged
+            for name in {path, tags}:
+                said[host, name][text].add(longest)
+                place[host, name][longest] = spot
+        for path, children in elements:
+            if children:
+                shapes[host, re.sub(r"\.[^/]*", "", path)][children].add(longest)
+
+    def figures(key):
+        texts = said[key]
+        n = len(set().union(*texts.values()))
+        total = sum(len(t) * len(c) for t, c in texts.items())
+        alone = sum(len(t) for t, c in texts.items() if len(c) == 1) / total
+        few = min(n, pt.REFERENCE)
+        alike = few / 2 * -math.log(max(alone, 1 / (2 * n))) if n > 1 else 0.0
+        spots = place[key].values()
+        return n, alone, total, few * (few - 1) / 2, alike, sum(pt.CHANCE[s] for s in spots) / n, sum(pt.PAIRS[s] for s in spots) / n
+
+    nodes = {key: figures(key) for key in said}
+    pooled = defaultdict(lambda: [0.0, 0.0, [], []])
+    for (_, path), (_, _, _, pairs, alike, chance, held) in nodes.items():
+        weight = min(pairs, pt.WITNESS_PAIRS)
+        pooled[path][0] += weight
+        pooled[path][1] += weight * min(alike / pairs, pt.WITNESS_CHANCE) if pairs else 0.0
+        pooled[path][2].append(chance)
+        pooled[path][3].append(held)
+    first, chance_of, out, branch = {}, {}, {}, defaultdict(lambda: [0.0, 0.0])
+    for path, (weight, hits, chances, helds) in pooled.items():
+        held = sum(helds) / len(helds) * pt.PLACE_PAIRS
+        first[path] = (held * sum(chances) / len(chances) + hits) / (held + weight)
+    for (host, path), (n, alone, total, pairs, alike, _, held) in sorted(nodes.items(), key=lambda x: "." in x[0][1]):
+        tags, held = re.sub(r"\.[^/]*", "", path), held * pt.OTHER_PAIRS
+        prior = first[tags]
+        if path != tags:
+            weight, hits, *_ = pooled[path]
+            prior = ((pt.PLACE_PAIRS * first[tags] + hits) / (pt.PLACE_PAIRS + weight) + chance_of[host, tags]) / 2
+        chance = chance_of[host, path] = (held * prior + alike) / (held + pairs)
+        count = [len(c) for c in shapes[host, tags].values()]
+        m = sum(count)
+        shape = -sum(c / m * math.log(c / m) for c in count) / math.log(m) if m > 1 else 1.0
+        measured = alone ** max(1.0, (pt.REFERENCE - 1) / (n - 1)) if n > 1 else 1.0
+        out[host, path] = n, 0.9 * measured + 0.1 * shape, 0.9 * math.exp(-chance * (pt.REFERENCE - 1)) + 0.1 * shape
+        if path == tags:
+            branch[host, tags.rpartition("/")[0]][0] += total * out[host, path][2]
+            branch[host, tags.rpartition("/")[0]][1] += total
+    for (host, path), (n, measured, judged) in out.items():
+        if re.search(r"/h[1-6]$", path):
+            a, b = branch[host, re.sub(r"\.[^/]*", "", path).rpartition("/")[0]]
+            out[host, path] = n, measured, max(judged, a / b)
+    return out
 
 
 def test_the_tree_agrees_with_a_plain_one(spark, sf_dir):
@@ -95,13 +79,13 @@ def test_the_tree_agrees_with_a_plain_one(spark, sf_dir):
     rows = [(r["page_id"], r["url"], r["html"]) for r in table.collect()]
     rows += [(10_000 + i, "https://hot.example/", f"<div class='box a{i % 3}'><h2>News {i % 5}</h2><p>{sentence(i // 2, 9)}</p></div><p>Same here</p>") for i in range(250)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
-    nodes, measured, judged = plain_tree([r[1:] for r in rows])
-    hosts = {r["host"]: r["name"] for r in spark.createDataFrame([(h,) for h in {h for h, _ in nodes}], "name string").selectExpr("name", "xxhash64(name) host").collect()}
+    want = plain_tree([r[1:] for r in rows])
+    hosts = {r["host"]: r["name"] for r in spark.createDataFrame([(h,) for h in {h for h, _ in want}], "name string").selectExpr("name", "xxhash64(name) host").collect()}
     found = {(hosts[r["host"]], r["node"]): r for r in pt.style_tree(pages).collect()}
-    assert set(found) == {(h, pt.key64(p)) for h, p in nodes}
-    for h, p in nodes:
+    assert set(found) == {(h, pt.key64(p)) for h, p in want}
+    for (h, p), (n, measured, judged) in want.items():
         r = found[h, pt.key64(p)]
-        assert r["n"] == nodes[h, p][0] and r["importance"] == pytest.approx(measured[h, p]) and r["judged"] == pytest.approx(judged[h, p]), (h, p)
+        assert r["n"] == n and r["importance"] == pytest.approx(measured) and r["judged"] == pytest.approx(judged), (h, p)
 
 
 def test_the_tree_alone_finds_articles_without_names(spark, monkeypatch):

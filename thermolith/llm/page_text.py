@@ -236,7 +236,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, float, str]], list[tuple[str,
 
 
 HOST = r"^[a-z][a-z0-9+.\-]*://([^/?#]*)"
-CONTENT, CHILDREN = 0, 1
+CONTENT, CHILDREN, SEEN = range(3)
 _CLASSES = re.compile(r"\.[^/]*")
 FOUND = "host long, node long, tags long, parent long, heading int, kind int, value long, copy long, chars long, chance double, pairs double"
 
@@ -247,12 +247,13 @@ def _with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
 
 
 class _Keys(dict):
-    """Paths to the keys of their node, their path by tags and their parent; cleared when many."""
+    """Paths to the keys of their node, their path by tags and its parent, and 1 for headings; cleared when many."""
 
-    def __missing__(self, path: str) -> tuple[int, int, int]:
+    def __missing__(self, path: str) -> tuple[int, int, int, int]:
         if len(self) > 50_000:
             self.clear()
-        self[path] = found = key64(path), key64(_CLASSES.sub("", path)), key64(path.rpartition("/")[0])
+        tags = _CLASSES.sub("", path)
+        self[path] = found = key64(path), key64(tags), key64(tags.rpartition("/")[0]), int(path.endswith(_HEADINGS))
         return found
 
 
@@ -263,7 +264,11 @@ def _copy(blocks: list[tuple[str, int, float, str]], values: list[int]) -> int:
 
 
 def counted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row for each host, node, content (or sequence of children) and distinct page."""
+    """host, node, tags, parent, heading, distinct pages ``n``, characters ``said``, the share of them that one page alone says, prior
+    chance and weight of the node's places, and the entropy of its sequences of children.
+
+    A node is a path by tags, and again a path with classes where it has some; ``tags`` is its path by tags.
+    """
     fields = [f.split() for f in FOUND.split(", ")]
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
 
@@ -275,29 +280,42 @@ def counted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 blocks, elements = parse(page.as_py() or "")
                 values = [key64(text) for *_, text in blocks]
                 copy = _copy(blocks, values)
-                own = {(path, value): (place, len(text)) for (path, place, _, text), value in zip(blocks, values, strict=True)}
-                for (path, value), (place, chars) in own.items():
-                    rows.append((host, *keys[path], int(path.endswith(_HEADINGS)), CONTENT, value, copy, chars, CHANCE[place], PAIRS[place]))
-                for path, children in dict.fromkeys(elements):
+                own: dict[tuple, tuple] = {}
+                for (path, place, _, text), value in zip(blocks, values, strict=True):
+                    node, tags, parent, heading = keys[path]
+                    for level in (tags, node) if node != tags else (tags,):
+                        at = host, level, tags, parent, heading
+                        own[(*at, CONTENT, value, copy)] = len(text), 0.0, 0.0
+                        own[(*at, SEEN, 0, copy)] = 0, CHANCE[place], float(PAIRS[place])
+                for path, children in elements:
                     if children:
-                        rows.append((host, *keys[path], 0, CHILDREN, key64(children), copy, 0, 0, 0))
+                        _, tags, parent, heading = keys[path]
+                        own[(host, tags, tags, parent, heading, CHILDREN, key64(children), copy)] = 0, 0.0, 0.0
+                rows += [(*k, *v) for k, v in own.items()]
             for i in range(0, len(rows), 20_000):
                 columns = zip(*rows[i : i + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+                yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
     found = _with_host(pages, id_col, url_col, html_col).select("host", "html").mapInArrow(count, FOUND)
-    once = found.groupBy("host", "node", "tags", "parent", "heading", "kind", "value", "copy")
-    return once.agg(F.max("chars").alias("chars"), F.avg("chance").alias("chance"), F.avg("pairs").alias("pairs"))
-
-
-def _measured(contents: DataFrame, node: str) -> DataFrame:
-    """Distinct pages ``n`` and the share of characters that one page alone says, of every node; prior chance and weight of its places."""
-    at = ["host", node]
-    values = contents.groupBy(*at, "value").agg(F.count_distinct("copy").alias("c"), F.max("chars").alias("chars"))
-    said = values.groupBy(*at).agg(F.sum(F.col("chars") * F.col("c")).alias("said"), F.sum(F.when(F.col("c") == 1, F.col("chars")).otherwise(0)).alias("own"))
-    extra = [F.first("tags").alias("tags"), F.first("parent").alias("parent"), F.max("heading").alias("heading")] if node == "node" else []
-    seen = contents.groupBy(*at).agg(F.count_distinct("copy").alias("n"), F.avg("chance").alias("chance"), F.avg("pairs").alias("pairs"), *extra)
-    return seen.join(said, at).withColumn("alone", F.col("own") / F.col("said"))
+    node = ["host", "node", "tags", "parent", "heading"]
+    once = found.groupBy(*node, "kind", "value", "copy").agg(F.max("chars").alias("chars"), F.max("chance").alias("chance"), F.max("pairs").alias("pairs"))
+    values = once.groupBy(*node, "kind", "value").agg(F.count("*").alias("c"), F.max("chars").alias("chars"), F.sum("chance").alias("chance"), F.sum("pairs").alias("pairs"))
+
+    def over(kind: int, what: Column) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, what))
+
+    sums = values.groupBy(*node).agg(
+        over(SEEN, F.col("c")).alias("n"),
+        over(SEEN, F.col("chance")).alias("chance"),
+        over(SEEN, F.col("pairs")).alias("pairs"),
+        over(CONTENT, F.col("chars") * F.col("c")).alias("said"),
+        over(CONTENT, F.when(F.col("c") == 1, F.col("chars")).otherwise(0)).alias("own"),
+        over(CHILDREN, F.col("c")).alias("m"),
+        over(CHILDREN, F.col("c") * F.log("c")).alias("clogc"),
+    )
+    shape = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("clogc") / F.col("m") / F.log("m"))).otherwise(1.0)
+    share = {"chance": F.col("chance") / F.col("n"), "pairs": F.col("pairs") / F.col("n"), "alone": F.col("own") / F.col("said"), "shape": shape}
+    return sums.where("n is not null").withColumns(share).select(*node, "n", "said", "alone", "chance", "pairs", "shape")
 
 
 def _alike(n: Column, alone: Column) -> tuple[Column, Column]:
@@ -315,64 +333,44 @@ def _carried(chance: Column) -> Column:
 
 
 def style_tree(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Every style node of a host that holds content: host, node, tags (its path without classes), distinct pages ``n``, ``importance``
-    as measured on the host alone, and ``judged``, the importance after shrinking; by tags alone, ``tags_judged``."""
-    once = common.saved(counted(pages, id_col, url_col, html_col), "contents")
-    contents = once.where(F.col("kind") == CONTENT)
-    by_node, by_tags = (_measured(contents, node) for node in ("node", "tags"))
-
-    def over_hosts(table: DataFrame, node: str) -> DataFrame:
-        pairs, alike = _alike(F.col("n"), F.col("alone"))
-        weight = F.least(pairs, F.lit(WITNESS_PAIRS))
-        chance = F.when(pairs > 0, F.least(alike / pairs, F.lit(WITNESS_CHANCE))).otherwise(0.0)
-        return table.groupBy(node).agg(
-            F.sum(weight).alias("all_pairs"), F.sum(weight * chance).alias("all_alike"), F.avg("chance").alias("place"), F.avg("pairs").alias("held")
-        )
-
-    all_tags = over_hosts(by_tags, "tags")
-    held = F.col("held") * PLACE_PAIRS
-    all_tags = all_tags.select("tags", ((held * F.col("place") + F.col("all_alike")) / (held + F.col("all_pairs"))).alias("tags_chance"))
-    all_nodes = over_hosts(by_node, "node").select("node", "all_pairs", "all_alike")
+    """Every style node of a host that holds content: host, node, tags, distinct pages ``n``, ``importance`` as measured on the host
+    alone, and ``judged``, the importance after shrinking."""
+    nodes = common.saved(counted(pages, id_col, url_col, html_col), "style-nodes")
+    by_tags, by_class = nodes.where("node = tags"), nodes.where("node <> tags")
     pairs, alike = _alike(F.col("n"), F.col("alone"))
+    weight = F.least(pairs, F.lit(WITNESS_PAIRS))
+    seen = F.sum(weight).alias("all_pairs"), F.sum(F.when(pairs > 0, weight * F.least(alike / pairs, F.lit(WITNESS_CHANCE))).otherwise(0.0)).alias("all_alike")
+
+    all_tags = by_tags.groupBy("tags").agg(*seen, F.avg("chance").alias("place"), (F.avg("pairs") * PLACE_PAIRS).alias("held"))
+    all_tags = all_tags.select("tags", ((F.col("held") * F.col("place") + F.col("all_alike")) / (F.col("held") + F.col("all_pairs"))).alias("tags_chance"))
     held = F.col("pairs") * OTHER_PAIRS
-    own_tags = by_tags.join(all_tags, "tags").select("host", "tags", "tags_chance", ((held * F.col("tags_chance") + alike) / (held + pairs)).alias("own_chance"))
-    nodes = by_node.join(own_tags, ["host", "tags"]).join(all_nodes, "node")
+    by_tags = by_tags.join(all_tags, "tags").withColumn("chance", (held * F.col("tags_chance") + alike) / (held + pairs))
+    own_tags = by_tags.select("host", "tags", "tags_chance", F.col("chance").alias("own_chance"), F.col("shape").alias("own_shape"))
+    by_class = by_class.join(own_tags, ["host", "tags"]).join(by_class.groupBy("node").agg(*seen), "node").withColumn("shape", F.col("own_shape"))
     others = (PLACE_PAIRS * F.col("tags_chance") + F.col("all_alike")) / (PLACE_PAIRS + F.col("all_pairs"))
-    nodes = nodes.withColumn("chance", (held * (others + F.col("own_chance")) / 2 + alike) / (held + pairs))
-
-    c = once.where(F.col("kind") == CHILDREN).groupBy("host", "node", "value").agg(F.count("*").alias("c"))
-    shape = c.groupBy("host", "node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    shape = shape.select("host", "node", F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("clogc") / F.col("m") / F.log("m"))).otherwise(1.0).alias("shape"))
-    nodes = nodes.join(shape, ["host", "node"], "left").withColumn("shape", F.coalesce("shape", F.lit(1.0)))
+    by_class = by_class.withColumn("chance", (held * (others + F.col("own_chance")) / 2 + alike) / (held + pairs))
 
     def whole(content: Column) -> Column:
         return content * (1 - PRESENTATION) + F.col("shape") * PRESENTATION
 
     grown = F.pow("alone", F.greatest(F.lit(1.0), (REFERENCE - 1) / (F.col("n") - 1)))
-    nodes = nodes.select(
-        "host", "node", "tags", "parent", "heading", "n", "said",
-        whole(F.when(F.col("n") > 1, grown).otherwise(1.0)).alias("importance"),
-        whole(_carried(F.col("chance"))).alias("judged"),
-        whole(_carried(F.col("own_chance"))).alias("tags_judged"),
-    )
-    branch = nodes.groupBy("host", "parent").agg(*((F.sum(F.col("said") * F.col(x)) / F.sum("said")).alias(f"branch_{x}") for x in ("judged", "tags_judged")))
-    nodes = nodes.join(branch, ["host", "parent"])
-    headed = {x: F.when(F.col("heading") == 1, F.greatest(x, f"branch_{x}")).otherwise(F.col(x)) for x in ("judged", "tags_judged")}
-    return nodes.withColumns(headed).select("host", "node", "tags", "n", "importance", "judged", "tags_judged")
+    figures = {"importance": whole(F.when(F.col("n") > 1, grown).otherwise(1.0)), "judged": whole(_carried(F.col("chance")))}
+    columns = ["host", "node", "tags", "parent", "heading", "n", "said"]
+    by_tags, by_class = (x.withColumns(figures).select(*columns, *figures) for x in (by_tags, by_class))
+    branch = by_tags.groupBy("host", "parent").agg((F.sum(F.col("said") * F.col("judged")) / F.sum("said")).alias("branch"))
+    judged = F.when(F.col("heading") == 1, F.greatest("judged", "branch")).otherwise(F.col("judged"))
+    return by_tags.unionByName(by_class).join(branch, ["host", "parent"]).select("host", "node", "tags", "n", "importance", judged.alias("judged"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url and main text of each page."""
     tree = common.saved(style_tree(pages, id_col, url_col, html_col), "style-tree")
-    most = tree.groupBy("host").agg(F.max("n").alias("most")).withColumnRenamed("host", "h")
-
-    def listed(name: str, when: Column) -> Column:
-        return F.collect_set(F.when(when, F.col(name)))
-
-    low, tags_low, told = F.col("judged") < threshold, F.col("tags_judged") < threshold, F.col("n") >= F.col("most") * JUDGED
-    judged = tree.join(most, F.col("host") == F.col("h")).groupBy("host").agg(
-        listed("tags", tags_low).alias("gone_tags"), listed("node", told & low).alias("gone"), listed("node", told & ~low & tags_low).alias("kept")
-    )
+    by_tags = tree.where("node = tags").select("host", "tags", "n", (F.col("judged") < threshold).alias("low"))
+    most = by_tags.groupBy("host").agg(F.max("n").alias("most"), F.collect_set(F.when(F.col("low"), F.col("tags"))).alias("gone_tags"))
+    low = F.col("judged") < threshold
+    by_class = tree.where("node <> tags").join(most.select("host", "most"), "host").where(F.col("n") >= F.col("most") * JUDGED)
+    by_class = by_class.groupBy("host").agg(F.collect_set(F.when(low, F.col("node"))).alias("gone"), F.collect_set(F.when(~low, F.col("node"))).alias("kept"))
+    judged = most.join(by_class, "host", "left").drop("most")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,7 +385,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 gone_tags, gone, kept = (frozenset(x or ()) for x in lists)
                 out = []
                 for path, place, linked, text in json.loads(zlib.decompress(data.as_py()).decode("utf-8", "surrogatepass")):
-                    node, tags, _ = keys[path]
+                    node, tags, *_ = keys[path]
                     low = node in gone or (tags in gone_tags and node not in kept)
                     if not low and (linked <= LINKED or (place == MAIN and path.endswith(_HEADINGS))):
                         out.append(text)
