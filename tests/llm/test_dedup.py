@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from conftest import HARD, sentence
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -123,8 +124,8 @@ def test_near_duplicates_equal_brute_force(documents, hard, nothing):
 
 
 def test_groups_larger_than_a_block(documents, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 16)
-    monkeypatch.setattr(near_dedup, "GROUP_BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(near_dedup, "PAIRS_EACH", 100)
     base = sentence(77, 120)
     pairs = [(i, edited(base, i, 1), "a") for i in range(90)] + [(1000 + i, base, "a") for i in range(20)] + [(2000, sentence(78, 120), "a")]
     found = near_dedup.near_duplicates(documents(pairs)).collect()
@@ -150,10 +151,42 @@ def test_pruning_keeps_what_reaches_the_threshold():
     rows = np.tile(base, (400, 1))
     changed = rng.random(rows.shape) < 0.1  # two rows agree in about 81 of 100 values
     rows[changed] = rng.integers(0, 256, changed.sum(), dtype=np.uint8)
-    first, _ = near_dedup.surviving(rows, None, least)
-    assert len(first) > 0.999 * 400 * 399 / 2
-    other = rng.integers(0, 256, (400, 128), dtype=np.uint8)
-    assert not len(near_dedup.surviving(rows, other, least)[0])
+    pairs = np.triu_indices(400, 1)
+    assert len(near_dedup.surviving(rows, *pairs, least)[0]) > 0.999 * 400 * 399 / 2
+    both = np.concatenate([rows, rng.integers(0, 256, (400, 128), dtype=np.uint8)])
+    assert not len(near_dedup.surviving(both, np.repeat(np.arange(400), 400), np.tile(np.arange(400, 800), 400), least)[0])
+
+
+def test_pruning_chooses_what_is_verified(documents, monkeypatch):
+    """A chain of texts that drift: neighbours are alike, most pairs aren't, and only pairs that pruning leaves are verified."""
+    words, pairs = sentence(5, 300).split(), []
+    for i in range(400):
+        words[i * 7 % 300] = f"drift{i}"
+        pairs.append((i, " ".join(words), "a"))
+    sets = [near_dedup.shingles(t) for _, t, _ in pairs]
+    values = np.array([near_dedup.minhash(x, *near_dedup._permutations()) for x in sets])
+    marks, least = values.astype(np.uint8), near_dedup.least_matches(near_dedup.THRESHOLD, near_dedup.TOLERANCE)
+    first, second = near_dedup.surviving(marks, *np.triu_indices(400, 1), least)
+    exact = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(first, second, strict=True)]
+    links = sum(c >= 0.8 * (len(sets[i]) + len(sets[j]) - c) for i, j, c in zip(first, second, exact, strict=True))
+    assert links <= len(first) < 0.15 * 400 * 399 / 2
+    found = near_dedup.near_duplicates(documents(pairs)).collect()
+    assert Counter(tuple(r) for r in found) == brute(pairs)
+    monkeypatch.setattr(near_dedup, "surviving", lambda marks, a, b, least: (a[:0], b[:0]))  # what pruning drops is never linked
+    assert {r["n_links"] for r in near_dedup.near_duplicates(documents(pairs)).collect()} == {0}
+
+
+@pytest.mark.parametrize("dense", [2, 10_000])
+def test_both_ways_of_counting_common_grams(monkeypatch, dense):
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
+    monkeypatch.setattr(near_dedup, "PAIRS_EACH", 50)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
+    task = np.repeat([0, 1, 4, 5], 20)
+    first, second = (np.concatenate(x) for x in zip(*((np.array(np.triu_indices(20, 1)) + 20 * k) for k in range(4)), strict=True))
+    got = set(zip(*near_dedup.verified(sets, task, first, second, 0.4), strict=True))
+    want = {(i, j) for i, j in zip(first, second, strict=True) if (c := len(np.intersect1d(sets[i], sets[j]))) >= 0.4 * (len(sets[i]) + len(sets[j]) - c)}
+    assert got == want and want
 
 
 def test_components(spark):

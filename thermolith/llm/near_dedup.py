@@ -1,27 +1,32 @@
 """N-gram Jaccard join with Bayesian pruning of MinHash candidates.
 
 Documents are sets of hashed word five-grams. Equal sets are one node with a
-count. Nodes that share a band of their MinHash signature are candidates; a
-bucket's candidates are compared some values at a time: a pair is dropped as
-soon as the posterior probability that its similarity reaches the threshold,
-given the matches so far, is below the tolerance. Pairs that stay tie their
-nodes to one group, and within a group every pair is verified exactly on the
-whole sets, which each node sends there once.
-
-Nothing emits pairs. A bucket or a group larger than a block is dealt as pairs
-of blocks to many tasks; a task compares its block with matrices and gives each
-node's number of links and a forest of links, one row per node. Verifying a
-group takes work that grows with the square of its different texts, as exact
-numbers of links do; copies cost nothing.
+count. Nodes that share a band of their MinHash signature are candidates, in
+the first band that they share. A bucket's candidates are compared some values
+at a time: a pair is dropped as soon as the posterior probability that its
+similarity reaches the threshold, given the matches so far, is below the
+tolerance. The pairs that stay, and no others, are verified exactly on the
+whole sets.
+
+Nothing emits pairs. A bucket larger than a block is dealt as pairs of blocks
+to many tasks; blocks have bounded rows and n-grams. Tasks see signatures
+first and say which nodes have a pair that stays; only those nodes' sets travel,
+and only to those tasks, which find the same pairs again and give each node's
+number of links and a forest of links, one row per node. A chain of many texts
+thus costs in proportion to its buckets and to the pairs that stay. Texts of
+which all are alike cost the square of their number, as exact numbers of links
+do: of n such texts a set travels n / BLOCK_ROWS times. Copies cost nothing.
 
 A pair at similarity 0.8 misses every one of the 25 bands of five values with
-probability 5e-5, and less above it; no candidate is cut off by number.
+probability 5e-5, and less above it; pruning loses it with less than 1.3e-5 in
+all eight steps together. No candidate is cut off by number.
 
 Cases: a null text is an empty one; texts without words have no n-grams, link
-to nothing and stay by themselves; a text of one to four words is one n-gram; a
-null doc_id takes part and names a class only if no other id does; repeated
-rows count as copies; an empty table gives no rows; other columns are ignored
-whatever their names.
+to nothing and stay by themselves; a text of one to four words is one n-gram;
+texts of any length give all their n-grams; a pair that ties with the threshold
+is a link; a null doc_id takes part and names a class only if no other id does;
+repeated rows count as copies; an empty table gives no rows; other columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -43,9 +48,11 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 VALUES = 128
 #: Values compared before pairs are dropped again, and the posterior probability below which they are.
-STEP, TOLERANCE = 16, 1e-5
-#: Nodes of a bucket or group that one task compares with each other or with another block.
-BUCKET_BLOCK, GROUP_BLOCK = 2048, 256
+STEP, TOLERANCE = 16, 1e-6
+#: Nodes, and n-grams of them, that a block of a bucket holds, about; a task compares a block with itself or with another.
+BLOCK_ROWS, BLOCK_GRAMS = 1024, 4_000_000
+#: Pairs looked at together, and nodes from which a task's n-grams are counted by matrix products.
+PAIRS_EACH, DENSE = 1 << 19, 64
 SEED = 4
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -86,20 +93,21 @@ def minhash(grams: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.nd
 
 
 def sketched(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, hash of the text, key of the n-gram set (null where empty) and signature of each row."""
+    """doc_id, hash of the text, key of the n-gram set (null where empty), n-grams and signature of each row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _permutations()
         for batch in batches:
-            keys, signatures = [], []
+            keys, sizes, signatures = [], [], []
             for text in batch.column(2):
                 grams = shingles(text.as_py() or "", words)
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
+                sizes.append(len(grams))
                 signatures.append(minhash(grams, factors, shifts).tobytes() if len(grams) else None)
-            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "key", "signature"])
+            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "key", "size", "signature"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(sketch, "doc_id long, text_hash long, key binary, signature binary")
+    return _texts(docs, id_col, text_col).mapInArrow(sketch, "doc_id long, text_hash long, key binary, size long, signature binary")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,38 +132,43 @@ def least_matches(threshold: float, tolerance: float, values: int = VALUES, step
     return found
 
 
-def surviving(left: np.ndarray, right: np.ndarray | None, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two signature matrices (of one with itself if the second is None) that pruning leaves."""
-    other = left if right is None else right
-    firsts, seconds = [], []
-    for at in range(0, len(left), 256):
-        own = left[at : at + 256]
-        matches, alive = None, None
-        for n, m in least.items():
-            part = slice(n - STEP, n)
-            if alive is None:
-                matches = (own[:, None, part] == other[None, :, part]).sum(axis=2, dtype=np.int16) if len(own) * len(other) <= 1 << 20 else _matched(own[:, part], other[:, part])
-                keep = matches >= m
-                if right is None:
-                    keep &= np.arange(len(other))[None, :] > np.arange(at, at + len(own))[:, None]
-                alive = np.nonzero(keep)
-                matches = matches[alive]
-            else:
-                matches = matches + (own[alive[0], part] == other[alive[1], part]).sum(axis=1, dtype=np.int16)
-                keep = matches >= m
-                alive, matches = (alive[0][keep], alive[1][keep]), matches[keep]
-            if not len(matches):
-                break
-        firsts.append(alive[0] + at)
-        seconds.append(alive[1])
-    return np.concatenate(firsts), np.concatenate(seconds)
+def surviving(marks: np.ndarray, first: np.ndarray, second: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of rows of a matrix of marks that pruning leaves."""
+    matches = np.zeros(len(first), np.int16)
+    for n, m in least.items():
+        part = slice(n - STEP, n)
+        matches = matches + (marks[first, part] == marks[second, part]).sum(axis=1, dtype=np.int16)
+        keep = matches >= m
+        first, second, matches = first[keep], second[keep], matches[keep]
+    return first, second
 
 
-def _matched(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(own), len(other)), np.int16)
-    for i in range(own.shape[1]):
-        out += own[:, i, None] == other[None, :, i]
-    return out
+def candidates(task: np.ndarray, crossed: np.ndarray, right: np.ndarray, band: np.ndarray, bands: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same task whose first shared band is the task's, some at a time.
+
+    Rows stand in order of task, and those of a task's second block (``right``)
+    behind those of its first; a task of two blocks is ``crossed``, others pair all their rows.
+    """
+    n = len(task)
+    ends = np.searchsorted(task, task, side="right")
+    rights = np.searchsorted(2 * task + right, 2 * task + 1)  # where a task's second block begins
+    low = np.where(crossed, np.where(right, ends, rights), np.arange(1, n + 1))
+    counts = ends - low
+    total = np.concatenate([[0], np.cumsum(counts)])
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS_EACH, side="right")) - 1)
+        own = counts[at:end]
+        first = np.repeat(np.arange(at, end), own)
+        second = np.arange(len(first)) - np.repeat(total[at:end] - total[at], own) + np.repeat(low[at:end], own)
+        for b in range(bands.shape[1]):
+            if not len(first):
+                break
+            new = (bands[first, b] != bands[second, b]) | (band[first] <= b)
+            first, second = first[new], second[new]
+        if len(first):
+            yield first, second
+        at = end
 
 
 def forest(n: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -174,130 +187,119 @@ def forest(n: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _blocks(n: Column, size: int, own: Column) -> Column:
-    """The pairs of blocks (a <= b) that a row of a group of n rows belongs to, and its own block."""
-    count = F.ceil(n / size).cast("int")
+def _blocks(rows: Column, grams: Column, own: Column) -> Column:
+    """The pairs of blocks (a <= b) of a bucket that a row belongs to, and whether it stands in the second of two."""
+    count = F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(grams / BLOCK_GRAMS)).cast("int")
     mine = F.pmod(F.xxhash64(own), count).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda x: F.struct(F.least(x, mine).alias("a"), F.greatest(x, mine).alias("b"), mine.alias("mine")))
+    return F.transform(
+        F.sequence(F.lit(0), count - 1), lambda x: F.struct(F.least(x, mine).alias("a"), F.greatest(x, mine).alias("b"), (mine > x).cast("int").alias("right"))
+    )
+
+
+TASK = ["bucket", "a", "b"]
+
+
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole tasks, some together, from batches in order of TASK and ``right``, with the number of each row's task."""
+    held: list[pa.RecordBatch] = []
 
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        for c in TASK:
+            values = table.column(c).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return new
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of the rows with equal keys, from batches in the order of the keys."""
-    held: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        columns = [table.column(k).to_numpy() for k in keys]
-        change = np.zeros(len(table), bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        if held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, columns, strict=True)):
-            change[0] = True
-        cuts = np.flatnonzero(change).tolist()
-        at = 0
-        for cut in [*cuts, len(table)]:
-            if cut in cuts:
-                held.append(table.slice(at, cut - at))
-                yield pa.concat_tables(held)
-                held = []
-            elif cut > at:
-                held.append(table.slice(at, cut - at))
-            at = cut
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        new = starts(table)
+        cuts = np.flatnonzero(new)
+        if len(cuts):  # the last task may go on in the next batch
+            yield table.slice(0, cuts[-1]), np.cumsum(new[: cuts[-1]])
+            held = table.slice(cuts[-1]).combine_chunks().to_batches()
     if held:
-        yield pa.concat_tables(held)
+        table = pa.Table.from_batches(held)
+        yield table, np.cumsum(starts(table))
 
 
-def _signatures(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+def _pairs(table: pa.Table, task: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same task that pruning leaves."""
+    crossed = table.column("a").to_numpy() != table.column("b").to_numpy()
+    right, band = table.column("right").to_numpy().astype(bool), table.column("band").to_numpy()
+    bands, marks = _fixed(table.column("bands"), np.uint32, BANDS), _fixed(table.column("marks"), np.uint8, VALUES)
+    found = [surviving(marks, *pairs, least) for pairs in candidates(task, crossed, right, band, bands)]
+    none = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    return tuple(np.concatenate(x) for x in zip(*(found or none), strict=True))
 
 
-def candidate_groups(nodes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """node and root of every node that pruning leaves with a partner; nodes have columns node and signature."""
-    spark = nodes.sparkSession
+def _fixed(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, VALUES)
-            ids = batch.column("node").to_numpy()
-            for b in range(BANDS):
-                key = np.full(len(values), b + 1, np.uint64)
-                for i in range(b * ROWS, (b + 1) * ROWS):
-                    key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[:, i])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.view(np.int64))], ["node", "bucket"])
-
-    banded = common.saved(nodes.mapInArrow(band, "node long, bucket long"), "bands")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    short = nodes.select(F.col("node").alias("own"), "signature")
-    members = banded.join(shared, "bucket")
-    parts = F.explode(_blocks(F.col("n"), BUCKET_BLOCK, F.col("node"))).alias("p")
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("own"), pa.array([low[i : i + VALUES] for i in range(0, len(low), VALUES)], pa.binary())], ["own", "marks"]
-            )
-
-    marked = short.mapInArrow(shorten, "own long, marks binary")
-    tasks = members.select("bucket", "node", parts).select("bucket", "node", "p.a", "p.b", "p.mine")
-    tasks = tasks.join(marked, F.col("node") == F.col("own")).select("bucket", "a", "b", "mine", "node", "marks")
-    least = least_matches(threshold, tolerance)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v, held = [], [], 0
-        for group in _groups(batches, ["bucket", "a", "b"]):
-            if group.num_rows < 2:
-                continue
-            # In order of node, so that a cluster's links lead to its smallest node in every bucket, and most are the same link.
-            group = group.sort_by("node")
-            ids, marks, mine = group.column("node").to_numpy(), _signatures(group.column("marks"), VALUES), group.column("mine").to_numpy()
-            first, second = _task_pairs(group, mine, lambda x, y, marks=marks: surviving(marks[x], None if y is None else marks[y], least))
-            if len(first):
-                root = forest(len(ids), first, second)
-                tied = np.flatnonzero(root != np.arange(len(ids)))
-                u.append(ids[root[tied]])
-                v.append(ids[tied])
-                held += len(tied)
-            if held > 10_000:
-                yield _links(u, v)
-                u, v, held = [], [], 0
-        if held:
-            yield _links(u, v)
-
-    width = common.shuffle_width(spark)
-    dealt = tasks.repartition(width, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    return components(dealt.mapInArrow(compare, "u long, v long"))
-
-
-def _links(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
-
-
-def _task_pairs(group: pa.Table, mine: np.ndarray, pairs) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a task: within its block, or between its two blocks."""
-    a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
-    if a == b:
-        rows = np.arange(len(mine))
-        return pairs(rows, None)
-    left, right = np.flatnonzero(mine == a), np.flatnonzero(mine == b)
-    if not len(left) or not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first, second = pairs(left, right)
-    return left[first], right[second]
-
-
-def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of n-gram sets whose Jaccard similarity reaches the threshold, exactly.
+def _bands(signatures: np.ndarray) -> np.ndarray:
+    """The bucket of each signature in every band."""
+    out = np.empty((len(signatures), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(signatures), b + 1, np.uint64)
+        for i in range(b * ROWS, (b + 1) * ROWS):
+            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + signatures[:, i])
+        out[:, b] = key
+    return out
+
+
+def _overlaps(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many n-grams the sets of each pair have in common."""
+    rows, places = np.unique(np.concatenate([first, second]), return_inverse=True)
+    first, second = places[: len(first)], places[len(first) :]
+    sizes = np.array([len(sets[r]) for r in rows])
+    grams, number = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True)
+    owned = np.repeat(np.arange(len(rows)), sizes) * len(grams) + number  # ascending: sets are
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(len(first), np.int64)
+    small, large = np.where(sizes[first] <= sizes[second], (first, second), (second, first))
+    steps = np.cumsum(sizes[small])
+    at = 0
+    while at < len(first):
+        end = max(at + 1, int(np.searchsorted(steps, (steps[at - 1] if at else 0) + 4 * PAIRS_EACH)))
+        own = sizes[small[at:end]]
+        index = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(start[small[at:end]], own)
+        wanted = np.repeat(large[at:end], own) * len(grams) + number[index]
+        hit = owned[np.minimum(np.searchsorted(owned, wanted), len(owned) - 1)] == wanted
+        out[at:end] = np.add.reduceat(hit, np.cumsum(own) - own)
+        at = end
+    return out
+
+
+def verified(sets: list[np.ndarray], task: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs whose Jaccard similarity reaches the threshold, exactly."""
+    keep = np.zeros(len(first), bool)
+    rows_of = np.bincount(task)
+    dense = rows_of[task[first]] >= DENSE
+    few = np.flatnonzero(~dense)
+    if len(few):
+        both = _overlaps(sets, first[few], second[few])
+        sizes = np.array([len(x) for x in sets])
+        keep[few] = both >= threshold * (sizes[first[few]] + sizes[second[few]] - both) - 1e-6
+    for t in np.unique(task[first[dense]]).tolist():
+        own = np.flatnonzero(dense & (task[first] == t))
+        left, left_at = np.unique(first[own], return_inverse=True)
+        right, right_at = np.unique(second[own], return_inverse=True)
+        keep[own] = linked(sets, left, right, threshold)[left_at, right_at]
+    return first[keep], second[keep]
+
+
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """A matrix that tells for n-gram sets on two sides whether their Jaccard similarity reaches the threshold, exactly.
 
     Common n-grams are counted by products of 0/1 matrices over a few thousand
-    n-grams at a time, of those n-grams only that two sets or more hold.
+    n-grams at a time, of those n-grams only that two rows or more hold.
     """
-    rows = left if right is None else np.concatenate([left, right])
+    rows = np.concatenate([left, right])
     sizes = np.array([len(sets[i]) for i in rows], np.int64)
-    grams, inverse, times = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True, return_counts=True)
+    _, inverse, times = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(rows)), sizes)
     keep = times[inverse] > 1
     rank = np.cumsum(times > 1) - 1
@@ -305,17 +307,13 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, t
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     n_left = len(left)
-    common_grams = np.zeros((n_left, len(rows) if right is None else len(right)), np.float32)
+    common_grams = np.zeros((n_left, len(right)), np.float32)
     for at in range(0, int((times > 1).sum()), _COLUMNS):
         part = slice(*np.searchsorted(column, (at, at + _COLUMNS)))
         dense = np.zeros((len(rows), _COLUMNS), np.float32)
         dense[owner[part], column[part] - at] = 1
-        common_grams += dense[:n_left] @ (dense if right is None else dense[n_left:]).T
-    total = sizes[:n_left, None] + (sizes if right is None else sizes[n_left:])[None, :] - common_grams
-    hit = common_grams >= threshold * total - 1e-6
-    if right is None:
-        hit &= np.arange(len(rows))[None, :] > np.arange(n_left)[:, None]
-    return np.nonzero(hit)
+        common_grams += dense[:n_left] @ dense[n_left:].T
+    return common_grams >= threshold * (sizes[:n_left, None] + sizes[n_left:][None, :] - common_grams) - 1e-6
 
 
 def _first(none: Column, doc_id: Column, text_hash: Column) -> Column:
@@ -326,54 +324,73 @@ def _first(none: Column, doc_id: Column, text_hash: Column) -> Column:
 def _classed(docs: DataFrame, threshold: float, words: int, tolerance: float, id_col: str, text_col: str) -> DataFrame:
     """One row per document: doc_id, text_hash, key, first (of its class) and n_links."""
     spark = docs.sparkSession
+    least = least_matches(threshold, tolerance)
     sketches = common.saved(sketched(docs, words, id_col, text_col), "sketches")
     first = _first(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    nodes = sketches.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), first.alias("first"), F.min("signature").alias("signature"))
-    # Nodes travel by a hash of their key; should two keys share one, they only land in one group, where keys tell them apart.
-    nodes = common.saved(nodes.withColumn("node", F.xxhash64("key")), "nodes")
-    groups = common.saved(candidate_groups(nodes.select("node", "signature").dropDuplicates(["node"]), threshold, tolerance), "groups")
-
-    members = nodes.select("node", "key", "n", "first").join(groups, "node").select("root", "key", "n", "first")
-    members = common.saved(members, "members")
-    sizes = members.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "r")
-    tasks = members.join(sizes, F.col("root") == F.col("r")).drop("r")
-    # Members are a share of the documents, so their list is never broadcast: small tables then cost as large ones do.
+    nodes = sketches.where("key is not null").groupBy("key")
+    nodes = common.saved(nodes.agg(F.count("*").alias("n"), first.alias("first"), F.min("size").alias("size"), F.min("signature").alias("signature")), "nodes")
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets = _bands(_fixed(batch.column("signature"), np.uint32, VALUES)).view(np.int64)
+            for b in range(BANDS):
+                number = pa.array(np.full(batch.num_rows, b, np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("size"), number, pa.array(buckets[:, b])], ["key", "size", "band", "bucket"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signatures by eight bits of a value and 32 bits of a band."""
+        for batch in batches:
+            values = _fixed(batch.column("signature"), np.uint32, VALUES)
+            columns = [[row.tobytes() for row in x] for x in (_bands(values).astype(np.uint32), values.astype(np.uint8))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, pa.binary()) for c in columns)], ["key", "bands", "marks"])
+
+    marked = nodes.select("key", "signature").mapInArrow(mark, "key binary, bands binary, marks binary")
+    banded = common.saved(nodes.select("key", "size", "signature").mapInArrow(band, "key binary, size long, band int, bucket long"), "bands")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("size").alias("grams")).where("rows > 1")
+    parts = F.explode(_blocks(F.col("rows"), F.col("grams"), F.col("key"))).alias("p")
+    rows = banded.join(shared, "bucket").select("key", "bucket", "band", parts).select("key", "bucket", "band", "p.a", "p.b", "p.right")
+
+    def dealt(table: DataFrame) -> DataFrame:
+        return table.repartition(common.shuffle_width(spark), *TASK).sortWithinPartitions(*TASK, "right")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, task in _tasks(batches):
+            staying = np.unique(np.concatenate(_pairs(table, task, least)))
+            if len(staying):
+                yield from table.select(["key", *TASK, "band", "right"]).take(pa.array(staying)).combine_chunks().to_batches(max_chunksize=10_000)
+
+    asked = dealt(rows.join(marked, "key")).mapInArrow(compare, "key binary, bucket long, a int, b int, band int, right int")
+    asked = common.saved(asked, "asked")
+
+    # Nodes with pairs are a share of the documents, so their list is never broadcast: small tables then cost as large ones do.
+    wanted = nodes.join(asked.select("key").distinct(), "key").select("key", "n", "first")
     match = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash"))
-    sent = _texts(docs, id_col, text_col).join(tasks.hint("merge"), match).select("root", "key", "n", "size", "text")
+    sent = _texts(docs, id_col, text_col).join(wanted.hint("merge"), match).select("key", "n", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [shingles(t.as_py() or "", words).tobytes() for t in batch.column("text")]
             same = [hashlib.blake2b(g, digest_size=16).digest() == k for g, k in zip(grams, batch.column("key").to_pylist(), strict=True)]
-            columns = [*(batch.column(c) for c in ("root", "key", "n", "size")), pa.array(grams, pa.binary())]
             # Should texts with one id share a hash, only those with the node's set count.
-            yield pa.RecordBatch.from_arrays(columns, ["root", "key", "n", "size", "grams"]).filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(grams, pa.binary())], ["key", "n", "grams"]).filter(pa.array(same, pa.bool_()))
 
-    sets = sent.mapInArrow(gather, "root long, key binary, n long, size long, grams binary")
-    parts = F.explode(_blocks(F.col("size"), GROUP_BLOCK, F.col("key"))).alias("p")
-    dealt = sets.select("root", "key", "n", "grams", parts).select("root", "p.a", "p.b", "p.mine", "key", "n", "grams")
+    sets = sent.mapInArrow(gather, "key binary, n long, grams binary").dropDuplicates(["key"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["root", "a", "b"]):
-            keys, first_of = group.column("key").to_pylist(), {}
-            for i, k in enumerate(keys):
-                first_of.setdefault(k, i)
-            group = group.take(pa.array([first_of[k] for k in sorted(first_of)]))
-            keys, n = group.column("key").to_pylist(), group.column("n").to_numpy()
-            held = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
-            first, second = _task_pairs(group, group.column("mine").to_numpy(), lambda x, y, held=held: linked(held, x, y, threshold))
+        for table, task in _tasks(batches):
+            sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+            first, second = verified(sets, task, *_pairs(table, task, least), threshold)
             if not len(first):
                 continue
-            links = np.bincount(first, n[second], len(keys)) + np.bincount(second, n[first], len(keys))
-            root = forest(len(keys), first, second)
+            n, key = table.column("n").to_numpy(), table.column("key")
+            links = np.bincount(first, n[second], len(n)) + np.bincount(second, n[first], len(n))
             used = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in used], pa.binary()), pa.array(links[used].astype(np.int64)), pa.array([keys[root[i]] for i in used], pa.binary())],
-                ["key", "links", "to"],
-            )
+            root = forest(len(n), first, second)[used]
+            columns = [key.take(pa.array(used)), pa.chunked_array([pa.array(links[used].astype(np.int64))]), key.take(pa.array(root))]
+            yield from pa.table(columns, ["key", "links", "to"]).combine_chunks().to_batches(max_chunksize=10_000)
 
-    ordered = dealt.repartition(common.shuffle_width(spark), "root", "a", "b").sortWithinPartitions("root", "a", "b")
-    found = common.saved(ordered.mapInArrow(verify, "key binary, links long, to binary"), "links")
+    known = common.saved(sets, "sets").join(marked, "key")
+    found = common.saved(dealt(asked.join(known, "key")).mapInArrow(verify, "key binary, links long, to binary"), "links")
     totals = found.groupBy("key").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("to").alias("u"), F.col("key").alias("v")))
     named = nodes.select("key", "n", "first").join(totals, "key", "left").join(tied.withColumnRenamed("node", "key"), "key", "left")
