@@ -4,24 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder where none is set and the driver runs all tasks itself.
+
+    On a cluster no machine's own folder will do, so a session without a shared one is refused.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master.partition("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-shared-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it again."""
+    """Write ``df`` as Parquet below the shared folder and read it again.
+
+    This cuts the lineage; a lost executor costs a re-read, not a re-run.
+    """
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``saved`` returned, once nothing will read them any more."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
