@@ -15,7 +15,16 @@ are read, so packing takes the schedule's positions of the same rows again and
 packs stretch by stretch: numbers of sequences rise with the stretches of the
 mixture, and a sequence holds documents of one stretch. Only the few sequences
 that stretches leave open are filled from neighbouring ones; they stand at the
-end of the last of these. Column ``stretch`` tells a piece's own.
+end of the last of these. Column ``stretch`` tells a piece's own. Weights hold
+until the first source ends, so the mixture as a whole has natural proportions.
+
+Cases: null and empty texts are scored like others and where they stay count as
+equal; texts of any length are read whole; a null doc_id stays null and a null
+source is one of its own; repeated rows are copies, of which one stays; ties go
+to the longer original and then the smaller id in exact, to the smaller id in
+near duplicates; without labels all documents pass the classifier; an empty
+table gives no rows; more columns than documents has, whatever their names, are
+carried through all stages but the last.
 """
 
 from __future__ import annotations
@@ -65,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, common.saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.forget(before)
     return docs

@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import forget, fresh_dir, saved, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) is a temporary folder set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return sc.getCheckpointDir()
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it again.
-
-    This cuts the lineage; a lost executor costs a re-read, not a re-run.
-    """
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["forget", "free", "fresh_dir", "saved", "shared_dir", "shuffle_width"]
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -15,8 +15,9 @@ split.
 
 Cases: a null text is an empty one, and all empty texts form one group; a null
 doc_id takes part and stays only in a group that has no other id; repeated rows
-count as often as they occur; equal lengths go to the smallest doc_id; an empty
-table gives no rows; other columns are ignored whatever their names.
+count as often as they occur; equal lengths go to the smallest doc_id; texts of
+any length are read whole; an empty table gives no rows; other columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -228,14 +229,15 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
     keys = common.saved(keyed(docs, id_col, text_col), "keys")
-    stay = common.saved(classes(keys).select(F.col("keep_id").alias("__id"), F.col("key").alias("__key"), F.col("chars").alias("__chars")), "classes")
+    stay = common.saved(classes(keys).select("keep_id", "key", "chars"), "classes")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.unhex(F.sha2(F.translate(text, _BLANKS, ""), 256)), "__chars": F.char_length(text).cast("long")})
-    match = own["__id"].eqNullSafe(stay["__id"]) & (own["__key"] == stay["__key"]) & (own["__chars"] == stay["__chars"])
+    of_id, of_key, of_chars = (common.free(c, docs) for c in ("id", "key", "chars"))
+    own = docs.withColumns({of_id: F.col(id_col).cast("long"), of_key: F.unhex(F.sha2(F.translate(text, _BLANKS, ""), 256)), of_chars: F.char_length(text).cast("long")})
+    match = own[of_id].eqNullSafe(stay["keep_id"]) & (own[of_key] == stay["key"]) & (own[of_chars] == stay["chars"])
     kept = own.join(stay, match, "left_semi")
     # Rows that repeat id, key and length are copies of each other, but for the kind of white space. Texts travel once more only if there are any.
     again = keys.groupBy("doc_id", "key").count().where("count > 1")
-    return (kept.dropDuplicates(["__id", "__key"]) if again.limit(1).count() else kept).select(*docs.columns)
+    return (kept.dropDuplicates([of_id, of_key]) if again.limit(1).count() else kept).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,13 @@ work in proportion to its slots and to the number of sources.
 
 An epoch is one row: its borders, its blocks with their windows and the
 schedule are array expressions over the list of sources, which the plan holds
-as literals. The list has one entry per source, and is the only thing that
-reaches the driver.
+as one literal, so that it has as many nodes for ten sources as for ten
+thousand. One row per source is the only thing that reaches the driver; an
+epoch takes work in proportion to its slots times the sources.
+
+Weights hold until the first source ends; its part then goes to the others, and
+the end of the mixture is the last source alone. ``whole=False`` leaves out
+what comes after the first end, as a choice of the caller.
 
 Cases: a null source is a source of its own and a null doc_id is placed like
 any other; texts are not read; repeated rows are placed as often as they occur;
@@ -30,6 +35,7 @@ ignored whatever their names.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping
 
@@ -47,11 +53,19 @@ TEMPERATURE = 0.5
 RANKED_TOGETHER = 10_000
 
 _EPS = 1e-6
+_SOURCES = "array<struct<i:int,n:bigint,w:double>>"
+_PIECES = "array<struct<t:double,g:double,r:double>>"
+_SHORT = "array<struct<slot:bigint,rows:bigint>>"
 _WINDOW = "struct<due:bigint,release:bigint,source:int,block:bigint>"
 
 
+def _table(rows: list[dict], schema: str) -> Column:
+    """A list of rows as one literal, which the optimiser reads once."""
+    return F.from_json(F.lit(json.dumps(rows)), schema)
+
+
 def _numbered(docs: DataFrame, id_col: str, source_col: str) -> tuple[DataFrame, list]:
-    """Rows with their number in their source, and (source, rows) of all sources in order of name."""
+    """Rows with their number in their source and its place (``at``) among the sources, and (source, rows) of all sources in order of name."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"))
     rows = rows.withColumn("hash", F.xxhash64("doc_id"))
     sizes = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()]  # one row per source
@@ -61,9 +75,11 @@ def _numbered(docs: DataFrame, id_col: str, source_col: str) -> tuple[DataFrame,
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("source", "part").agg(F.count("*").alias("n"))
     starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    places = docs.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(sizes)], "name string, at int")
+    starts = starts.join(places, F.col("s").eqNullSafe(F.col("name")))
     own = F.row_number().over(Window.partitionBy("source", "part").orderBy("hash", "doc_id")) - 1
     ranked = rows.withColumn("own", own).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    return ranked.select("doc_id", "source", (F.col("start") + F.col("own")).alias("number")), sizes
+    return ranked.select("doc_id", "source", "at", (F.col("start") + F.col("own")).alias("number")), sizes
 
 
 def fluid_segments(blocks: list[int], weights: list[float]) -> list[tuple[float, float, float]]:
@@ -87,8 +103,8 @@ def schedule(spark: SparkSession, blocks: list[int], weights: list[float], epoch
     total = sum(blocks)
     share = min((w / sum(weights) for w in weights), default=1.0)
     length = max(epoch_slots, math.ceil(1 / share) + 1)
-    sources = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(int(n)).cast("long").alias("n"), F.lit(float(w)).alias("w")) for i, (n, w) in enumerate(zip(blocks, weights, strict=True))))
-    pieces = F.array(*(F.struct(*(F.lit(float(x)).alias(c) for c, x in zip(("t", "g", "r"), p, strict=True))) for p in fluid_segments(blocks, weights)))
+    sources = _table([{"i": i, "n": n, "w": w} for i, (n, w) in enumerate(zip(blocks, weights, strict=True))], _SOURCES)
+    pieces = _table([{"t": t, "g": g, "r": r} for t, g, r in fluid_segments(blocks, weights)], _PIECES)
 
     def time_at(slot: Column) -> Column:
         piece = F.element_at(F.filter(pieces, lambda p: p["g"] <= slot), -1)
@@ -148,8 +164,12 @@ def mix(
     epoch_slots: int = EPOCH_SLOTS,
     id_col: str = "doc_id",
     source_col: str = "source",
+    whole: bool = True,
 ) -> DataFrame:
-    """One row per document: doc_id, source, block of its source, slot of the mixture, position in the mixture (gapless from 0)."""
+    """One row per document: doc_id, source, block of its source, slot of the mixture, position in the mixture (gapless from 0).
+
+    With ``whole`` false, documents after the end of the first source to end are left out.
+    """
     spark = docs.sparkSession
     ranked, sizes = _numbered(docs, id_col, source_col)
     out = "doc_id", "source", "block", "slot", "position"
@@ -164,26 +184,34 @@ def mix(
         target = [weights.get(s, sum(given) / len(given) if given else 1.0) for s, _ in sizes]
     blocks = [-(-n // block_rows) for _, n in sizes]
     slots = common.saved(schedule(spark, blocks, target, epoch_slots).select("source", "block", "slot"), "slots")
+    if not whole:
+        ends = [g for _, g, _ in fluid_segments(blocks, target)[1:]]
+        slots = slots.where(F.col("slot") < math.floor(min(ends, default=sum(blocks)) + _EPS))
 
     # A source's last block may be short; later positions move up by what it lacks. One row per source.
-    ends = F.array(*(F.lit(b - 1).cast("long") for b in blocks))
-    lacks = {r["source"]: r["slot"] for r in slots.where(F.col("block") == F.get(ends, F.col("source"))).collect()}
-    short = F.array(*(F.struct(F.lit(lacks[i]).cast("long").alias("slot"), F.lit(b * block_rows - n).cast("long").alias("rows")) for i, (b, (_, n)) in enumerate(zip(blocks, sizes, strict=True))))
-    names = F.array(*(F.lit(s).cast("string") for s, _ in sizes if s is not None))
-    at = F.when(F.col("source").isNull(), F.lit(0)).otherwise(F.array_position(names, F.col("source")) - (0 if sizes[0][0] is None else 1)).cast("int")
-    rows = ranked.select("doc_id", "source", at.alias("at"), F.floor(F.col("number") / block_rows).alias("b"), (F.col("number") % block_rows).alias("in_block"))
-    placed = rows.join(slots.withColumnRenamed("source", "s"), (F.col("at") == F.col("s")) & (F.col("b") == F.col("block")))
+    lacking = {i: b * block_rows - n for i, (b, (_, n)) in enumerate(zip(blocks, sizes, strict=True))}
+    last = _table([{"i": i, "n": b - 1, "w": 0.0} for i, b in enumerate(blocks)], _SOURCES)
+    last = slots.where(F.col("block") == F.get(last, F.col("source"))["n"]).collect()
+    short = _table([{"slot": r["slot"], "rows": lacking[r["source"]]} for r in last if lacking[r["source"]]], _SHORT)
     moved = F.aggregate(F.filter(short, lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["rows"])
-    return placed.select("doc_id", "source", "block", "slot", (F.col("slot") * block_rows + F.col("in_block") - moved).alias("position"))
+    slots = slots.select(F.col("source").alias("s"), "block", "slot", (F.col("slot") * block_rows - moved).alias("from"))
+    rows = ranked.select("doc_id", "source", "at", F.floor(F.col("number") / block_rows).alias("b"), (F.col("number") % block_rows).alias("in_block"))
+    placed = rows.join(slots, (F.col("at") == F.col("s")) & (F.col("b") == F.col("block")))
+    return placed.select("doc_id", "source", "block", "slot", (F.col("from") + F.col("in_block")).alias("position"))
 
 
 def in_mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows of ``docs`` in the order of the mixture: partitions are its successive stretches. Repeated rows stand together."""
-    places = mix(docs, weights, id_col=id_col, source_col=source_col).groupBy("doc_id", "source").agg(F.min("position").alias("__position"))
-    places = common.saved(places.withColumnsRenamed({"doc_id": "__id", "source": "__source"}), "places")
-    match = docs[id_col].eqNullSafe(places["__id"]) & docs[source_col].cast("string").eqNullSafe(places["__source"])
-    placed = docs.join(places, match).select(*(docs[c] for c in docs.columns), "__position")
-    return placed.repartitionByRange(common.shuffle_width(docs.sparkSession), "__position").sortWithinPartitions("__position").drop("__position")
+    of_id, of_source, position = (common.free(c, docs) for c in ("id", "of", "position"))
+    places = mix(docs, weights, id_col=id_col, source_col=source_col).groupBy("doc_id", "source").agg(F.min("position").alias(position))
+    places = common.saved(places.withColumnsRenamed({"doc_id": of_id, "source": of_source}), "places")
+    end = (places.agg(F.max(position)).first()[0] or 0) + 1
+    match = docs[id_col].eqNullSafe(places[of_id]) & docs[source_col].cast("string").eqNullSafe(places[of_source])
+    placed = docs.join(places, match).select(*(docs[c] for c in docs.columns), places[position])
+    width = common.shuffle_width(docs.sparkSession)
+    # Positions are even, so they deal rows by themselves; no pass over the texts looks for borders.
+    dealt = placed.repartitionById(width, F.floor(F.col(position) * width / end).cast("int"))
+    return dealt.sortWithinPartitions(position).drop(position)
 
 
 def stretches(docs: DataFrame, docs_each: int, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:

@@ -389,12 +389,14 @@ def _classed(docs: DataFrame, threshold: float, words: int, tolerance: float, id
             columns = [key.take(pa.array(used)), pa.chunked_array([pa.array(links[used].astype(np.int64))]), key.take(pa.array(root))]
             yield from pa.table(columns, ["key", "links", "to"]).combine_chunks().to_batches(max_chunksize=10_000)
 
-    known = common.saved(sets, "sets").join(marked, "key")
-    found = common.saved(dealt(asked.join(known, "key")).mapInArrow(verify, "key binary, links long, to binary"), "links")
+    sets = common.saved(sets, "sets")
+    found = common.saved(dealt(asked.join(sets.join(marked, "key"), "key")).mapInArrow(verify, "key binary, links long, to binary"), "links")
+    common.forget(banded, asked, sets)
     totals = found.groupBy("key").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("to").alias("u"), F.col("key").alias("v")))
     named = nodes.select("key", "n", "first").join(totals, "key", "left").join(tied.withColumnRenamed("node", "key"), "key", "left")
     named = common.saved(named.select("key", "n", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root")), "named")
+    common.forget(nodes, found)
     classes = named.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("class_first"))
     by_key = named.join(classes, F.col("root") == F.col("r")).select(F.col("key").alias("k"), "class_first", (F.col("links") + F.col("n") - 1).alias("n_links"))
     out = sketches.select("doc_id", "text_hash", "key").join(common.saved(by_key, "classes"), F.col("key") == F.col("k"), "left")
@@ -415,8 +417,8 @@ def keep_one_of_each(
     """The first document of each class and all documents without words, with all their columns; rows that repeat id and text count once."""
     rows = common.saved(_classed(docs, threshold, words, tolerance, id_col, text_col), "near")
     is_first = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_first.id")) & (F.col("text_hash") == F.col("class_first.hash")))
-    gone = rows.where(~is_first).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    match = docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"])
+    gone = rows.where(~is_first).select(F.col("doc_id").alias(common.free("id", docs)), F.col("text_hash").alias(common.free("hash", docs))).distinct()
+    match = docs[id_col].cast("long").eqNullSafe(gone[gone.columns[0]]) & (F.xxhash64(docs[text_col]) == gone[gone.columns[1]])
     kept = docs.join(gone.hint("merge"), match, "left_anti")
     repeated = rows.where(is_first).groupBy("doc_id", "text_hash").count().where("count > 1")
     return kept.dropDuplicates([id_col, text_col]) if repeated.limit(1).count() else kept

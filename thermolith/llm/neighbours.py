@@ -294,6 +294,7 @@ def nearest(
         named = common.saved(candidates(distinct, queries, n, k, asked, blocks, range_rows), "candidates")
         wanted = queries.join(named.select("rep", "block").distinct(), "rep").select("rep", "block", F.col("v").alias("wanted"), F.lit(None).cast("binary").alias("ids"))
         near = common.saved(_distances(distinct, wanted.unionByName(named, allowMissingColumns=True), blocks, sets, k + 1), "near")
+        common.forget(named)
         # To the root: whoever the forest finds too few for.
         enough = near.groupBy("rep").count().where(F.col("count") >= min(k, n - 1))
         short = common.saved(queries.join(enough, "rep", "left_anti"), "short")

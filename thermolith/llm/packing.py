@@ -36,6 +36,8 @@ MERGE = 8
 OPEN_FOR_EACH, OPEN_LEAST = 4, 8
 #: Pieces that a first partition holds at least, so that what it wastes at its end is a small share.
 PIECES_EACH = 20_000
+#: Pieces that a stretch without a given number holds at most; what a partition has beyond is a stretch of its own.
+PIECES_MOST = 1_000_000
 #: Documents of a mixture that a stretch holds.
 STRETCH_DOCS = 4096
 
@@ -197,8 +199,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         many = (pieces.agg(F.max("stretch")).first()[0] or 0) + 1
         todo = pieces.repartition(common.shuffle_width(spark), "stretch").sortWithinPartitions("stretch", *columns)
     else:
-        many = max(1, pieces.rdd.getNumPartitions())
-        todo = pieces.select(*columns, F.spark_partition_id().cast("long").alias("stretch"))
+        split = max(1, -(-pieces.count() // PIECES_MOST))
+        many = max(1, pieces.rdd.getNumPartitions()) * split
+        row = F.monotonically_increasing_id()  # the partition's number, then the row's in 33 bits
+        part = F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / PIECES_MOST)
+        todo = pieces.select(*columns, (F.spark_partition_id().cast("long") * split + part).alias("stretch"))
     closed, level, width = [], 0, 1
     while True:
         last = width >= many
@@ -237,9 +242,14 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     if stretches is not None:
         pieces = common.saved(tokenized_pieces(docs, vocabulary, capacity=capacity, source_col="source"), "pieces")
         of = stretches.withColumnsRenamed({"doc_id": "__id", "source": "__source"})
-        return pack(common.saved(pieces.join(of, pieces["doc_id"].eqNullSafe(of["__id"]) & pieces["source"].eqNullSafe(of["__source"])), "placed"), capacity)
+        placed = common.saved(pieces.join(of, pieces["doc_id"].eqNullSafe(of["__id"]) & pieces["source"].eqNullSafe(of["__source"])), "placed")
+        packed = pack(placed, capacity)
+        common.forget(pieces, placed)
+        return packed
     pieces = common.saved(tokenized_pieces(docs, vocabulary, capacity=capacity), "pieces")
-    return pack(pieces.coalesce(max(1, -(-pieces.count() // PIECES_EACH))), capacity)
+    packed = pack(pieces.coalesce(max(1, -(-pieces.count() // PIECES_EACH))), capacity)
+    common.forget(pieces)
+    return packed
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

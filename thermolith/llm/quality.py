@@ -13,8 +13,9 @@ Labels, language, source and id are never inputs of a score.
 Cases: a null text is an empty one, and empty texts are scored like any other;
 a null doc_id never finds a label and is scored; repeated rows are scored alike;
 several labels of one document count as their mean; labels other than 0 and 1
-and null labels are left out; without any label the score is 0.5; an empty
-table gives no rows; other columns are ignored whatever their names.
+and null labels are left out; without any label the score is 0.5; texts of any
+length are measured whole; an empty table gives no rows; other columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BINS = 512
 SEED = 20
 #: Labelled rows that one partial sum covers, at least.
 ROWS_EACH = 50_000
+#: Labelled documents, about, that ``keep_quality`` learns from; those with the smallest hashes of their ids.
+FIT_ROWS = 50_000
 
 #: Texts are measured whole; only the share that deflate saves is taken in blocks of this many bytes.
 BLOCK = 1 << 20
@@ -231,6 +234,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: fl
     table = sorted(bins.agg(F.sum("n").alias("n"), F.sum("raw").alias("raw"), F.sum("ones").alias("ones")).collect())  # BINS rows at most
     n = np.array([r["n"] for r in table])
     raw, chance = isotonic(np.array([r["raw"] for r in table]) / n, n, np.array([r["ones"] for r in table]))
+    common.forget(rows)
     return Model(base.mean, base.scale, projection, phase, solved(everything), raw, chance)
 
 
@@ -244,9 +248,20 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return stats.mapInArrow(score, "doc_id long, score double")
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns and without a shuffle of texts."""
-    model = fit(common.saved(measured(docs, text_col=text_col), "statistics"), labels)
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns and without a shuffle of texts.
+
+    It learns from a sample of about ``fit_rows`` labelled documents, whose ids
+    alone are sent to every task, so that only these are measured twice.
+    """
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("known")).where("known is not null").distinct()
+    share = min(1.0, fit_rows / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("known"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    text_id = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sample = text_id.join(F.broadcast(known), F.col("doc_id") == F.col("known"), "left_semi")  # fit_rows ids, about
+    stats = common.saved(measured(sample), "statistics")
+    model = fit(stats, labels)
+    common.forget(stats)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
