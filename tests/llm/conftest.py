@@ -9,13 +9,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SCHEMA = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, n int, `start` int, node int, position int, "
-    "shard int, score double, block int, slot int, stats string, fold int, root int, length int, hash int, part int, n_links int, signature string"
+    "shard int, score double, block int, slot int, stats string, fold int, root int, length int, hash int, part int, n_links int, signature string, "
+    "__id string, __key string, __position int, __rank int, __source string, id int, of string, chars int, bucket int, band int, label int"
 )
 
 
 def rows_of(pairs):
     """Documents (doc_id, text, source) with columns whose names operators use inside."""
-    return [(i, t, "en", s, None, "k", 1, 2, 3, 4, 5, 0.5, 6, 7, "s", 8, 9, 10, 11, 12, 13, "x") for i, t, s in pairs]
+    return [(i, t, "en", s, None, "k", 1, 2, 3, 4, 5, 0.5, 6, 7, "s", 8, 9, 10, 11, 12, 13, "x", "i", "k", 1, 2, "s", 3, "o", 4, 5, 6, 7) for i, t, s in pairs]
 
 
 @pytest.fixture(scope="session")

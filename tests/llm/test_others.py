@@ -9,7 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from conftest import HARD, sentence
+from conftest import HARD, LONG, sentence
 from pyspark.sql import functions as F
 
 from thermolith.llm import chat, mixing, neighbours, page_text, quality, sharding
@@ -134,6 +134,17 @@ def test_every_block_in_its_window(spark, blocks, weights, epoch):
     check_schedule(mixing.schedule(spark, blocks, weights, epoch).collect(), blocks, weights)
 
 
+def test_many_sources_and_a_cut(documents):
+    pairs = [(i, "t", f"s{i % 700}") for i in range(2100)]
+    rows = mixing.mix(documents(pairs), block_rows=2).collect()
+    assert sorted(r["position"] for r in rows) == list(range(2100)) and Counter(r["doc_id"] for r in rows) == Counter(range(2100))
+    pairs = [(i, "t", "a" if i < 900 else "b") for i in range(1000)]
+    frame = documents(pairs)
+    cut = mixing.mix(frame, {"a": 1.0, "b": 1.0}, block_rows=4, whole=False).collect()  # b ends after its 25 blocks, a has as many by then
+    assert sorted(r["position"] for r in cut) == list(range(200)) and Counter(r["source"] for r in cut) == {"a": 100, "b": 100}
+    assert {(r["doc_id"], r["position"]) for r in cut} < {(r["doc_id"], r["position"]) for r in mixing.mix(frame, {"a": 1.0, "b": 1.0}, block_rows=4).collect()}
+
+
 def test_mix_places_all_rows(hard, nothing, documents):
     rows = mixing.mix(hard, {"a": 2.0, "b": 1.0, "unused": 5.0}, block_rows=2, epoch_slots=4).collect()
     assert Counter((r["doc_id"], r["source"]) for r in rows) == Counter((i, s) for i, _, s in HARD)
@@ -213,6 +224,12 @@ def test_most_documents_stay_home_and_few_move(documents):
     assert np.mean([small[i] != large[i] for i in small]) < 0.45  # 8 in 9 move where shards are the remainder
 
 
+def test_one_more_shard_moves_less_than_a_tenth(documents):
+    frame = documents([(i, "t", "a") for i in range(10_000)])
+    small, large = ({r["doc_id"]: r["shard"] for r in sharding.assign_shards(frame, n).collect()} for n in (24, 25))
+    assert 0.04 <= np.mean([small[i] != large[i] for i in small]) < 0.1
+
+
 def test_walk_fills_clockwise():
     assert sharding.walk([5, 1, 0], [0, 1, 2], [2, 2, 2]) == [(0, 0, 2, 0), (1, 0, 1, 1), (0, 2, 3, 1), (0, 3, 5, 2)]
 
@@ -240,6 +257,19 @@ def test_quality_on_held_out_labels(spark):
     assert len(held) > 50 and np.mean([q == r["predicted"] for q, r in held]) >= 0.97
 
 
+def test_summed_normal_equations_equal_one_solution(spark, documents):
+    """Weights from sums by task and fold against ridge regression on all rows at once."""
+    pairs = [(i, sentence(i, 5 + i % 40) + (" !!! ###" * (i % 7) if i % 2 else ""), "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, quality int")
+    stats = quality.measured(documents(pairs).repartition(7))
+    model = quality.fit(stats, labels, features=32)
+    learned = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    x = quality.fourier(np.array([quality.statistics(pairs[i][1]) for i in learned]), model)
+    y = np.array([1.0 - i % 2 for i in learned])
+    ridge = quality.RIDGE * len(learned) / 32 * np.diag([*np.ones(32), 0.0]) + 1e-9 * np.eye(33)
+    assert np.allclose(model.weights, np.linalg.solve(x.T @ x + ridge, x.T @ y), rtol=1e-6, atol=1e-8)
+
+
 def test_isotonic_pools():
     raw, chance = quality.isotonic(np.array([0.0, 1.0, 2.0, 3.0]), np.array([1.0, 1, 1, 1]), np.array([0.0, 1, 0, 1]))
     assert raw.tolist() == [0.0, 1.5, 3.0] and chance.tolist() == [0.0, 0.5, 1.0]
@@ -334,6 +364,61 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_pipeline_equals_brute_force(spark, documents, tmp_path):
+    """Every stage against plain code on a small table with labels, copies, near copies, nulls and clashing columns."""
+    import corpus_pipeline
+    from test_dedup import brute, normal
+    from tokenizers import Tokenizer
+
+    from thermolith.llm import tokens
+
+    good = [(i, sentence(i, 30 + i % 50), "abc"[i % 3]) for i in range(240)]
+    bad = [(1000 + i, "!!! ### $$$ " * (3 + i % 5) + f"x{i}", "abc"[i % 3]) for i in range(120)]
+    copies = [(2000 + i, good[i][1].replace(" ", "\n") + " " * (i % 3), "a") for i in range(30)]
+    near = [(3000 + i, sentence(i, 80).rsplit(" ", 1)[0] + f" end{i}", "b") for i in (49, 99, 149, 199)]
+    pairs = [*good, *bad, *copies, *near, (4000, LONG, None), (4001, None, "a"), (4002, "", "c")]
+    docs = documents(pairs).repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 1000), 0) for i, *_ in [*good, *bad]], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows, outputs = {i: (i, t, s) for i, t, s in pairs}, []
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.common.saved(stage(spark, docs, str(tmp_path)))
+        outputs.append(docs)
+    kept = [[r["doc_id"] for r in x.collect()] for x in outputs]
+    assert all(x.columns == documents([]).columns for x in outputs[:4])
+
+    model = quality.fit(quality.measured(documents([p for p in pairs if p[0] < 2000])), labels)
+    want = {i for i, (_, t, _) in rows.items() if model.score(np.array([quality.statistics(t or "")]))[0] >= 0.5}
+    assert set(kept[0]) == want and len(kept[0]) == len(want) and len(want & set(range(240))) > 230 and len(want & set(range(1000, 1120))) < 10
+    groups: dict[str, list] = {}
+    for i in want:
+        groups.setdefault(normal(rows[i][1]), []).append(i)
+    want = {min(g, key=lambda i: (-len(rows[i][1] or ""), i)) for g in groups.values()}
+    assert sorted(kept[1]) == sorted(want)
+    want = {c for _, c, _ in brute([rows[i] for i in sorted(want)])}
+    assert sorted(kept[2]) == sorted(want) and not want & {3049, 3099, 3149, 3199}
+    places = {r["doc_id"]: r["position"] for r in mixing.mix(outputs[2], corpus_pipeline.WEIGHTS).collect()}
+    assert sorted(kept[3]) == sorted(want)
+    by_file = outputs[3].select("doc_id", F.input_file_name().alias("f")).collect()
+    files: dict[str, list] = {}
+    for r in by_file:
+        files.setdefault(r["f"], []).append(places[r["doc_id"]])
+    spans = sorted((x[0], x[-1]) for x in files.values())
+    assert all(x == sorted(x) for x in files.values()) and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    library = Tokenizer.from_file(tokens.default_vocabulary())
+    pieces = {(r["doc_id"], r["piece"]): r["length"] for r in outputs[4].collect()}
+    lengths = {i: len(library.encode(rows[i][1] or "", add_special_tokens=False).ids) + 1 for i in want}
+    assert pieces == {(i, k): min(2048, n - 2048 * k) for i, n in lengths.items() for k in range(-(-n // 2048))}
+    filled: dict[int, list] = {}
+    for r in outputs[4].collect():
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in filled.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and sum(parts[-1]) <= 2048
+
+
 def test_sequences_follow_the_mixture(spark, documents, monkeypatch):
     import corpus_pipeline
 

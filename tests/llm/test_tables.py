@@ -46,6 +46,14 @@ def test_empty_pipeline(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_pipeline_on_repeated_rows_and_nulls(spark, odd):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, odd).collect()
+    ids = [r["doc_id"] for r in rows if r["piece"] == 0]
+    assert ids and len(ids) == len(set(ids)) and max(r["length"] for r in rows) <= 2048
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_repeated_rows_and_nulls(spark, odd, name):
     found = QUERIES[name](spark, odd).cache()

@@ -162,3 +162,14 @@ def test_bound_never_exceeds_the_fewest_bins(lengths):
 def test_bound_beats_volume_where_it_should():
     assert packing.lower_bound(np.full(10, 1025)) == 10
     assert packing.lower_bound(np.full(9, 683)) == 5
+
+
+def test_a_large_partition_is_packed_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_MOST", 100)
+    rows = [(i, 0, 0, 1 + i * 37 % 900, i) for i in range(1000)]
+    packed = packing.pack(spark.createDataFrame(rows, packing.PIECES).coalesce(1)).collect()
+    filled: dict[int, int] = {}
+    for r in packed:
+        filled[r["sequence_id"]] = filled.get(r["sequence_id"], 0) + r["length"]
+    assert sorted(r["doc_id"] for r in packed) == list(range(1000)) and max(filled.values()) <= 2048
+    assert len(filled) <= 1.03 * -(-sum(r[3] for r in rows) // 2048)

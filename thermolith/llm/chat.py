@@ -14,12 +14,15 @@ in the opposite order restores every text.
 
 Each row is flattened where it stands; running sums over the conversation give
 its place, so offsets need no loop over the whole. Rows of one conversation
-meet once, since they become one string.
+meet once in one task, since they become one string: a conversation is as large
+as a task can hold, and rows without conv_id are one conversation.
 
 Cases: a null text is an empty one and a null role an empty role; null turns
 come first; rows with equal turn numbers follow by role, then content; a null
-conv_id is a conversation of its own; repeated rows are repeated turns; an
-empty table gives no rows; other columns are ignored whatever their names.
+conv_id is a conversation of its own; repeated rows are repeated turns; texts of
+any length are kept whole; a part without type is text, and one of unknown type
+a placeholder of no tokens; an empty table gives no rows; other columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -170,3 +173,67 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+def _part(kind: str, when: Column, **fields: Column) -> Column:
+    """A list with one part where ``when`` holds, else an empty one."""
+    names = "text", "ref", "width", "height", "seconds", "pages"
+    part = F.struct(F.lit(kind).alias("type"), *(fields.get(n, F.lit(None)).alias(n) for n in names)).cast(PART)
+    return F.when(when, F.array(part)).otherwise(F.array().cast(f"array<{PART}>"))
+
+
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with documents, images and audio put beside their texts by a rule on conv_id and turn."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    conv, turn = F.col("conv_id"), F.col("turn")
+
+    def named(kind: str, end: str) -> Column:
+        return F.concat(F.lit(f"{kind}-"), conv.cast("string"), F.lit("-"), turn.cast("string"), F.lit(end))
+
+    parts = F.concat(
+        _part("document", (conv % 7 == 2) & (turn % 3 == 0), ref=named("doc", ".pdf"), pages=turn % 4),
+        text_part(F.coalesce(F.col("text"), F.lit(""))),
+        _part("image", (conv + turn) % 3 == 0, ref=named("img", ".png"), width=turn * 10 + 100, height=F.lit(60)),
+        _part("audio", turn % 5 == 4, ref=named("aud", ".wav"), seconds=turn * 0.75 + 0.5),
+    )
+    chats = format_chat(turns.withColumn("parts", parts))
+    loss = read_loss(F.col("formatted"), F.col("loss_spans"))
+    return chats.select(
+        "conv_id",
+        F.sha2("formatted", 256).alias("formatted_sha256"),
+        F.size("attachments").cast("long").alias("n_files"),
+        F.array_join("attachments.ref", ",").alias("refs"),
+        "attachment_tokens",
+        F.char_length(loss).cast("long").alias("loss_chars"),
+    )
+
+
+TYPED_PARTS_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         CASE WHEN conv_id % 7 = 2 AND turn % 3 = 0 THEN 1 ELSE 0 END AS d,
+         CASE WHEN (conv_id + turn) % 3 = 0 THEN 1 ELSE 0 END AS i,
+         CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END AS a
+  FROM conversations),
+n AS (
+  SELECT *, coalesce(sum(d + i + a) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f
+  FROM t),
+e AS (
+  SELECT *, CASE WHEN d = 1 THEN '<document:' || f || '>' ELSE '' END AS before,
+         replace(replace(replace(text, '\', '\s'), '<', '\l'), '>', '\g') AS body,
+         CASE WHEN i = 1 THEN '<image:' || (f + d) || '>' ELSE '' END
+         || CASE WHEN a = 1 THEN '<audio:' || (f + d + i) || '>' ELSE '' END AS after,
+         concat_ws(',', CASE WHEN d = 1 THEN 'doc-' || conv_id || '-' || turn || '.pdf' END,
+                   CASE WHEN i = 1 THEN 'img-' || conv_id || '-' || turn || '.png' END,
+                   CASE WHEN a = 1 THEN 'aud-' || conv_id || '-' || turn || '.wav' END) AS refs,
+         d * (turn % 4) * 512 + i * ceil((100 + 10 * turn) / 14.0) * 5 + a * ceil((turn * 0.75 + 0.5) * 25) AS tokens
+  FROM n)
+SELECT conv_id,
+       sha256(string_agg('<turn:' || role || '>' || before || body || after || '</turn>', '' ORDER BY turn NULLS FIRST, role, text)) AS formatted_sha256,
+       CAST(sum(d + i + a) AS BIGINT) AS n_files,
+       coalesce(string_agg(nullif(refs, ''), ',' ORDER BY turn NULLS FIRST, role, text), '') AS refs,
+       CAST(sum(tokens) AS BIGINT) AS attachment_tokens,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(before || text || after) ELSE 0 END) AS BIGINT) AS loss_chars
+FROM e GROUP BY conv_id
+"""

@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,6 +64,11 @@ def _table(rows: list[dict], schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), schema)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _numbered(docs: DataFrame, id_col: str, source_col: str) -> tuple[DataFrame, list]:
     """Rows with their number in their source and its place (``at``) among the sources, and (source, rows) of all sources in order of name."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"))
@@ -121,7 +126,7 @@ def schedule(spark: SparkSession, blocks: list[int], weights: list[float], epoch
         short = slot - F.aggregate(floors, F.lit(0).cast("long"), lambda a, x: a + x)
         order = F.array_sort(F.transform(F.zip_with(shares, floors, lambda x, f: f - x), lambda d, i: F.struct(d.alias("d"), i.alias("i"))))
         up = F.transform(F.slice(order, F.lit(1), short.cast("int")), lambda o: o["i"])
-        return F.transform(floors, lambda f, i: F.when(F.array_contains(up, i), f + 1).otherwise(f))
+        return _bound(F.struct(floors.alias("floors"), up.alias("up")), lambda x: F.transform(x["floors"], lambda f, i: F.when(F.array_contains(x["up"], i), f + 1).otherwise(f)))
 
     def windows(source: Column, first: Column, end: Column) -> Column:
         def window(b: Column) -> Column:
@@ -134,14 +139,22 @@ def schedule(spark: SparkSession, blocks: list[int], weights: list[float], epoch
     epochs = spark.range(-(-total // length)).select((F.col("id") * length).alias("from"), F.least((F.col("id") + 1) * length, F.lit(total)).alias("to"))
     epochs = epochs.withColumns({"t0": time_at(F.col("from")), "t1": time_at(F.col("to"))})
     epochs = epochs.withColumns({"q0": borders(F.col("from"), F.col("t0")), "q1": borders(F.col("to"), F.col("t1"))})
-    epochs = epochs.withColumn("todo", F.transform(sources, lambda s, i: windows(s, F.get("q0", i), F.get("q1", i))))
+    # Written twice, as the optimiser would else put these lists into the loops over sources and slots that read them.
+    borders_of = common.saved(epochs.select("from", "to", "q0", "q1"), "borders")
+    epochs = borders_of.withColumn("todo", F.transform(sources, lambda s, i: windows(s, F.get("q0", i), F.get("q1", i))))
+    epochs = common.saved(epochs.select("from", "to", "todo"), "epochs")
+    common.forget(borders_of)
 
     def place(state: Column, slot: Column) -> Column:
         """Take the released block that is due first among each source's next one."""
         heads = F.filter(F.transform(state["next"], lambda n, i: F.get(F.get(F.col("todo"), i), n)), lambda b: b.isNotNull())
-        pick = F.coalesce(F.array_min(F.filter(heads, lambda b: b["release"] <= slot)), F.array_min(heads))
-        after = F.transform(state["next"], lambda n, i: n + F.when(i == pick["source"], 1).otherwise(0))
-        return F.struct(after.alias("next"), F.array_append(state["done"], pick).alias("done"))
+        picked = _bound(heads, lambda h: F.coalesce(F.array_min(F.filter(h, lambda b: b["release"] <= slot)), F.array_min(h)))
+
+        def taken(pick: Column) -> Column:
+            after = F.transform(state["next"], lambda n, i: n + F.when(i == pick["source"], 1).otherwise(0))
+            return F.struct(after.alias("next"), F.array_append(state["done"], pick).alias("done"))
+
+        return _bound(picked, taken)
 
     none = F.array().cast(f"array<{_WINDOW}>")
 
@@ -149,8 +162,7 @@ def schedule(spark: SparkSession, blocks: list[int], weights: list[float], epoch
         """Slots from ``first`` on, kept as a list of their own so that no long list is copied for every slot."""
         slots = F.sequence(first, F.least(first + (STRETCH - 1), F.col("to") - 1))
         run = F.aggregate(slots, F.struct(state["next"].alias("next"), none.alias("done")), place)
-        merged = F.transform(F.array(run), lambda r: F.struct(r["next"].alias("next"), F.array_append(state["done"], r["done"]).alias("done")))
-        return F.element_at(merged, 1)
+        return _bound(run, lambda r: F.struct(r["next"].alias("next"), F.array_append(state["done"], r["done"]).alias("done")))
 
     start = F.struct(F.transform(sources, lambda s: F.lit(0)).alias("next"), F.array().cast(f"array<array<{_WINDOW}>>").alias("done"))
     order = F.flatten(F.aggregate(F.sequence(F.col("from"), F.col("to") - 1, F.lit(STRETCH).cast("long")), start, stretch)["done"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat import OP5_SQL, op5_chat_parts
+from .chat import OP5_SQL, TYPED_PARTS_SQL, chat_typed_parts, op5_chat_parts
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .mixing import op3_pfair_mixing
 from .near_dedup import op4_bayes_jaccard
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pfair_mixing": op3_pfair_mixing,
     "op4_bayes_jaccard": op4_bayes_jaccard,
     "op5_chat_parts": op5_chat_parts,
+    "chat_typed_parts": chat_typed_parts,
     "op6_hash_ring_shards": op6_hash_ring_shards,
     "op7_token_records": op7_token_records,
     "op8_fourier_quality": op8_fourier_quality,
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL for the queries that SQL can express; the others are held against brute force in tests.
-ORACLE_SQL: dict[str, str] = {"op5_chat_parts": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat_parts": OP5_SQL, "chat_typed_parts": TYPED_PARTS_SQL, "op9_exact_dedup": OP9_SQL}

@@ -13,9 +13,13 @@ to it, so their number is enough, and a table of shards times points rows
 decides everything. A document then needs only its rank in its arc, taken in
 sub-groups of bounded size, and a look-up in that table.
 
+Where one shard is added, its capacity comes out of all others', which are full;
+so besides the new shard's own rows some move between old ones. Of rows dealt
+to 24 shards 6.5 to 7 in a hundred move for a 25th, where 4 would have to.
+
 Cases: a null text has size 8 and the checksum of nothing; null ids share one
-position; repeated rows are placed as often as they occur; an empty table gives
-no rows; fewer rows than shards leave some shards empty; other columns are
+position; repeated rows are placed as often as they occur, and ties in position
+in row order; texts of any length count whole; an empty table gives no rows; fewer rows than shards leave some shards empty; other columns are
 ignored whatever their names.
 """
 
