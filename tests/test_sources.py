@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import struct
 import threading
+import zlib
 from datetime import datetime
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -19,7 +21,7 @@ from thermolith.functions.formats import HEADERS, parse_clusters
 from thermolith.operators import saturation, stencil, tiles
 from thermolith.plans import monitoring
 from thermolith.sources import http_batches, messages, msgpack, results, tiff
-from thermolith.sources.topics import BATCHES, Topics, latest_bench_id, query_of
+from thermolith.sources.topics import BATCHES, RESULTS, Topics, latest_bench_id, query_of
 from thermolith.sources.waiting import retried, wait_for_port, wait_until
 from thermolith.streaming.meters import fold, stream_throughput
 from thermolith.streaming.running import drained, stop_when_idle
@@ -54,6 +56,97 @@ def test_tiff_round_trip(order, strips):
     assert (tiff.decode(tiff.encode(image, order, strips)) == image).all()
 
 
+def packed_bits(data):
+    out = bytearray()
+    for i in range(0, len(data), 128):
+        part = data[i : i + 128]
+        out += bytes((257 - len(part), part[0])) if len(set(part)) == 1 and len(part) > 1 else bytes((len(part) - 1,)) + part
+    return bytes(out) + b"\x80"
+
+
+def packed_lzw(data):
+    """Codes as the format writes them: a table that starts again when full, widths that grow one code early."""
+    bits, table, width, at = [], {}, 9, 0
+
+    def put(code):
+        bits.append(f"{code:0{width}b}")
+
+    put(256)
+    held = b""
+    for i in range(len(data)):
+        byte = data[i : i + 1]
+        if len(held) == 0 or held + byte in table:
+            held += byte
+            continue
+        put(table.get(held, held[0]))
+        table[held + byte] = 258 + len(table)
+        width = max(9, (258 + len(table)).bit_length())
+        if len(table) == 4094 - 258:
+            put(256)
+            table, width = {}, 9
+        held = byte
+    if held:
+        put(table.get(held, held[0]))
+        table[object()] = None
+        width = max(9, (258 + len(table)).bit_length())
+    put(257)
+    text = "".join(bits)
+    return bytes(int(text[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(text), 8))
+
+
+def written_tiff(blocks, tags, order="<"):
+    """A file from its compressed blocks and short or long tags."""
+    offsets, at = [], 8
+    for b in blocks:
+        offsets.append(at)
+        at += len(b)
+    tags = {**tags, (324 if 322 in tags else 273): offsets, (325 if 322 in tags else 279): [len(b) for b in blocks]}
+    lists, entries, after = b"", b"", at + 2 + 12 * len(tags) + 4
+    for tag, values in sorted(tags.items()):
+        values = values if isinstance(values, list) else [values]
+        body = struct.pack(f"{order}{len(values)}I", *values)
+        if len(body) > 4:
+            lists, body = lists + body, struct.pack(f"{order}I", after + len(lists))
+        entries += struct.pack(f"{order}HHI", tag, 4, len(values)) + body
+    head = (b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, at)
+    return head + b"".join(blocks) + struct.pack(f"{order}H", len(tags)) + entries + bytes(4) + lists
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("bits", [8, 16])
+@pytest.mark.parametrize("predictor", [1, 2])
+@pytest.mark.parametrize(("compression", "pack"), [(1, bytes), (32773, packed_bits), (5, packed_lzw), (8, zlib.compress), (32946, zlib.compress)])
+@pytest.mark.parametrize("tile", [None, (16, 32)])
+def test_tiff_compressed_and_tiled(order, bits, predictor, compression, pack, tile):
+    rng = np.random.default_rng(bits)
+    image = rng.integers(0, 1 << bits, (70, 75))
+    image[20:40] = 7  # runs
+    down, across = tile or (11, 75)
+    blocks = []
+    for y in range(0, 70, down):
+        for x in range(0, 75, across):
+            part = image[y : y + down, x : x + across]
+            if tile:
+                part = np.pad(part, ((0, down - part.shape[0]), (0, across - part.shape[1])))
+            if predictor == 2:
+                part = np.diff(part, axis=1, prepend=0) % (1 << bits)
+            blocks.append(pack(part.astype(np.uint8 if bits == 8 else f"{order}u2").tobytes()))
+    tags = {256: 75, 257: 70, 258: bits, 259: compression, 262: 1, 277: 1, 317: predictor} | ({322: across, 323: down} if tile else {278: down})
+    data = written_tiff(blocks, tags, order)
+    assert (tiff.decode(data) == image).all()
+    with pytest.raises(tiff.TiffError):
+        tiff.decode(written_tiff([b[: len(b) // 3] for b in blocks], tags, order))
+    with pytest.raises(tiff.TiffError):
+        tiff.decode(written_tiff(blocks, tags | {259: 7}, order))
+
+
+def test_tiff_with_bands():
+    pixels = np.arange(4 * 5 * 3).reshape(4, 5, 3)
+    together = written_tiff([zlib.compress(pixels.astype("<u2").tobytes())], {256: 5, 257: 4, 258: [16] * 3, 259: 8, 277: 3, 278: 4})
+    apart = written_tiff([pixels[:, :, b].astype("<u2").tobytes() for b in range(3)], {256: 5, 257: 4, 258: [16] * 3, 259: 1, 277: 3, 278: 4, 284: 2})
+    assert (tiff.decode(together) == pixels[:, :, 0]).all() and (tiff.decode(apart) == pixels[:, :, 0]).all()
+
+
 def test_tiff_damage():
     good = tiff.encode(np.ones((4, 4), np.uint16))
     for bad in (b"", b"II", b"XX" + good[2:], good[:20], good[:-3]):
@@ -266,3 +359,105 @@ def test_http_source_and_sink(spark):
     assert {("/api/result/0/run-1/1", "one"), ("/api/result/0/run-1/2", "two")} <= set(Handler.got)
     assert Handler.got[-1][0] == "/api/end/run-1"
     server.shutdown()
+
+
+class Recorder:
+    """Stands in for a session's readers and writers, and notes what is asked of them."""
+
+    def __init__(self, notes):
+        self.notes = notes
+
+    def __getattr__(self, name):
+        def call(*args, **kwargs):
+            self.notes.append((name, args, kwargs))
+            return self
+
+        return self if name in ("read", "readStream", "write", "writeStream") else call
+
+
+def test_kafka_options(spark):
+    topics = Topics(servers="a:9092,b:9092", options={"kafka.security.protocol": "SSL"})
+    connect = {"kafka.bootstrap.servers": "a:9092,b:9092", "kafka.security.protocol": "SSL"}
+    for read in (topics.read, topics.read_stream):
+        notes = []
+        read(Recorder(notes), BATCHES)
+        assert notes[:3] == [("format", ("kafka",), {}), ("options", (), connect | {"subscribe": BATCHES, "startingOffsets": "earliest"}), ("load", (), {})]
+    notes = []
+    topics.write(Recorder(notes), RESULTS[0])
+    assert notes[0][0] == "select" and notes[1:] == [("format", ("kafka",), {}), ("options", (), connect | {"topic": RESULTS[0]}), ("save", (), {})]
+    notes = []
+    topics.write_stream(Recorder(notes), RESULTS[1], "/c")
+    assert ("option", ("checkpointLocation", "/c"), {}) in notes and ("options", (), connect | {"topic": RESULTS[1]}) in notes
+    assert ("trigger", (), {"availableNow": True}) in notes and notes[-1][0] == "start"
+
+
+def test_a_batch_that_is_written_again_replaces_itself(spark, tmp_path):
+    topics, lines = Topics(str(tmp_path)), spark.createDataFrame([("a",), ("b",)], "value string")
+    for batch in ("run-0", "run-1", "run-0"):
+        topics.write(lines, RESULTS[1], batch)
+    topics.write(lines, RESULTS[1])
+    assert topics.read(spark, RESULTS[1]).count() == 6
+
+
+def test_limit_of_a_stream_is_refused(spark, tmp_path):
+    with pytest.raises(SystemExit, match="limit"):
+        cli.main(["run", "--folder", str(tmp_path), "--mode", "stream", "--limit", "3"])
+
+
+def test_durations_in_order_only(spark):
+    want = {"1s2us3ms": 1000.002, "1s2ms3us4ns": 1002.003004, "5s": 5000.0, "1s7ns": 1000.000007, "2ms": None, "x1s": None, "1s2msrest": 1002.0, "": None}
+    rows = spark.createDataFrame([(t,) for t in want], "text string").select("text", duration_ms(F.col("text")).alias("ms")).collect()
+    assert {r["text"]: r["ms"] for r in rows} == {t: v if v is None else pytest.approx(v) for t, v in want.items()}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from thermolith import storage
+
+    def session(master):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None)
+        )
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            storage.shared_dir(session(master))
+    storage.shared_dir(session("local[2]"))
+
+
+def test_forgotten_tables_are_deleted(spark):
+    import os
+
+    from thermolith import storage
+
+    table = storage.saved(spark.range(3), "short-lived")
+    folder = table.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(folder)
+    storage.forget(table, spark.range(1))
+    assert not os.path.exists(folder)
+
+
+def test_first_wins_beside_columns_of_its_own_names(spark):
+    from thermolith.operators.measurements import first_wins
+
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 4, "b"), (2, 1, "c")], "rank int, __rank int, _rank string")
+    assert sorted(map(tuple, first_wins(rows, ["rank"], ["__rank"]).collect())) == [(1, 4, "b"), (2, 1, "c")]
+
+
+def test_core_queries_stand_without_the_optional_package(monkeypatch):
+    import importlib
+
+    import __spark_entry__
+
+    real = importlib.import_module
+
+    def missing(name, *rest):
+        if name.startswith(("thermolith.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError("No module named 'regex'")
+        return real(name, *rest)
+
+    monkeypatch.setattr(importlib, "import_module", missing)
+    names = set(__spark_entry__.queries())
+    assert "h2_top5_outliers" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
+    assert set(__spark_entry__.oracle_sql()) <= names

@@ -14,16 +14,14 @@ from . import storage
 from .plans import monitoring
 from .sources.messages import MODES, decode_messages
 from .sources.results import cluster_rows, output_name, result_rows, write_csv, write_json_lines
-from .sources.topics import BATCHES, RESULTS, Topics
+from .sources.topics import BATCHES, RESULTS, Topics, first_messages
+from .streaming.windows import ROCKSDB
 
 log = logging.getLogger("thermolith")
 
 
 def session(metrics: bool = False) -> SparkSession:
-    # State of keys lives in RocksDB, compressed, on the executors' disks.
-    builder = SparkSession.builder.appName("thermolith").config(
-        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    )
+    builder = SparkSession.builder.appName("thermolith").config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     if metrics:  # Prometheus text at /metrics/executors/prometheus of the driver's UI
         builder = builder.config("spark.ui.prometheus.enabled", "true").config("spark.sql.streaming.metricsEnabled", "true")
     return builder.getOrCreate()
@@ -35,10 +33,11 @@ def run(args: argparse.Namespace) -> None:
         raise SystemExit(f"unknown queries: {', '.join(sorted(unknown))}")
     topics, began = Topics(args.folder, args.servers), time.monotonic()
     if args.mode == "batch":
-        messages = topics.read(spark, args.topic)
-        messages = messages.limit(args.limit) if args.limit is not None else messages
+        messages = first_messages(topics.read(spark, args.topic), args.limit)
         monitoring.run_batch(decode_messages(messages, mode=args.malformed), topics, queries)
     else:
+        if args.limit is not None:
+            raise SystemExit("--limit needs --mode batch: a stream has no first messages across its restarts")
         tiles = decode_messages(topics.read_stream(spark, args.topic), mode=args.malformed)
         for query in monitoring.run_stream(tiles, topics, args.checkpoint or storage.fresh_dir(spark, "run"), queries, not args.forever):
             query.awaitTermination()

@@ -11,15 +11,19 @@ def normalized_micro(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "Â", ""), "[µμ]s", "us")
 
 
+#: Parts in their order; what follows the first that is missing or out of order doesn't count.
+_PARTS = r"^(\d+)s(?:(\d+)ms)?(?:(\d+)us)?(?:(\d+)ns)?"
+
+
 def duration_ms(text: Column) -> Column:
     """Milliseconds of a duration whose seconds part is required; null otherwise."""
     plain = normalized_micro(text)
 
-    def part(pattern: str) -> Column:
-        return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(plain, pattern, 1), F.lit("")), F.lit("9999999999")).cast("double"), F.lit(0.0))
+    def part(i: int) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(plain, _PARTS, i), F.lit("")).try_cast("double"), F.lit(0.0))
 
-    total = part(r"(\d+)s") * 1000 + part(r"(\d+)ms") + part(r"(\d+)us") / 1000 + part(r"(\d+)ns") / 1000000
-    return F.when(plain.rlike(r"^\d+s"), total)
+    total = part(1) * 1000 + part(2) + part(3) / 1000 + part(4) / 1000000
+    return F.when(plain.rlike(_PARTS), total)
 
 
 def seconds(ms: Column) -> Column:

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from ..constants import TOP
 
+# Empty forms, column names of the written result files, and the written form of a cluster.
 NO_POINT, NO_DEVIATION = "()", ""
-
-#: Column names of the written result files.
 HEADERS = {
     "query1": ["seq_id", "print_id", "tile_id", "saturated"],
     "query2": ["seq_id", "print_id", "tile_id", *(f"{p}{i}" for i in range(1, TOP + 1) for p in ("P", "dP"))],
     "query3": ["batch_id", "print_id", "tile_id", "saturated", "centroids"],
 }
-
 CLUSTER_PATTERN = r"\{'x': ([\d.]+); 'y': ([\d.]+); 'count': (\d+)\}"
 
 

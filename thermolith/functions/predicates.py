@@ -29,3 +29,11 @@ def is_clustered(label: Column) -> Column:
 
 def tile_key(print_id: Column, tile_id: Column) -> Column:
     return F.concat_ws("_", print_id, tile_id.cast("string"))
+
+
+def present(*columns: Column) -> Column:
+    """True where no column is null."""
+    found = F.lit(True)
+    for c in columns:
+        found = found & c.isNotNull()
+    return found

@@ -63,5 +63,8 @@ def latest(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in order, with all its columns; the limit runs before the exchange too."""
+    name = "rank"
+    while name in (c.lower() for c in rows.columns):
+        name = "_" + name
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return rows.withColumn(name, rank).where(F.col(name) == 1).drop(name)

@@ -7,19 +7,23 @@ tables stand in for meters, messages and run logs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..constants import MIN_POINTS, TOP, WINDOW_LAYERS
+from ..constants import EPS, MIN_POINTS, TOP, WINDOW_LAYERS
 from ..functions import formats, predicates
 from ..functions.durations import duration_ms, seconds
 from ..operators import clusters, measurements, saturation, stencil, tiles, topk, windows
 from ..sources import messages, results
-from ..streaming.meters import throughput_windows
+from ..sources.topics import RESULTS, first_messages, query_of_column
+from ..streaming.meters import stream_throughput, throughput_windows
 from ..streaming.running import drained
-from ..streaming.windows import stream_outliers
+from ..streaming.windows import ROCKSDB, stream_outliers
 from . import monitoring, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +82,21 @@ def _(spark, sf_dir):
     return stacked.select("tile_id", "layer", "y", F.aggregate("row", F.lit(0).cast("long"), lambda a, t: a + t).alias("row_sum"))
 
 
+@_query("d2_layer_cube", f"WITH {oracle.PIXELS} SELECT tile_id, layer, y, x, t FROM px")
+def _(spark, sf_dir):
+    """Tiles of a place stacked as one array of (layer, row, column), and all its cells read back."""
+
+    def stacked(table: pa.Table) -> pa.Table:
+        table = table.sort_by("layer")
+        cells = tiles.cube(table.column("pixels").to_pylist(), tiles.SIDE, tiles.SIDE)
+        at, y, x = (a.ravel() for a in np.indices(cells.shape))
+        layers = table.column("layer").to_numpy()[at]
+        tile = np.full(cells.size, table.column("tile_id")[0].as_py())
+        return pa.table({"tile_id": tile, "layer": layers, "y": y.astype(np.int32), "x": x.astype(np.int32), "t": cells.ravel().astype(np.int32)})
+
+    return _packed(spark, sf_dir).select("tile_id", "layer", "pixels").groupBy("tile_id").applyInArrow(stacked, "tile_id long, layer long, y int, x int, t int")
+
+
 @_query("c6_tile_key", "SELECT vec_id AS batch_id, 'P0_' || CAST(vec_id % 16 AS VARCHAR) AS tile_key FROM embeddings")
 def _(spark, sf_dir):
     return _tiles(spark, sf_dir).select("batch_id", predicates.tile_key(F.col("print_id"), F.col("tile_id")).alias("tile_key"))
@@ -241,7 +260,7 @@ def _(spark, sf_dir):
     return found.select("batch_id", F.size("clusters").alias("clusters"))
 
 
-@_query("q3_cluster_lines")
+@_query("q3_cluster_lines", oracle.cluster_lines(EPS, MIN_POINTS))
 def _(spark, sf_dir):
     found = monitoring.clusters(stencil.outliers(saturation.with_saturation(_packed(spark, sf_dir))))
     return monitoring.q3_lines(found)
@@ -299,14 +318,20 @@ def _(spark, sf_dir):
     return results.json_lines(results.cluster_rows(_cluster_lines(spark, sf_dir)))
 
 
-@_query("b11_json_lines_to_csv", f"SELECT CAST(vec_id AS INTEGER) AS batch_id, CAST(sum(count) AS BIGINT) AS points FROM ({_CLUSTERS_SQL}) GROUP BY vec_id")
+@_query(
+    "b11_json_lines_to_csv",
+    f"SELECT CAST(vec_id AS INTEGER) AS batch_id, CAST(vec_id % 16 AS INTEGER) AS tile_id, CAST(vec_id % 9 AS INTEGER) AS saturated, CAST(i AS INTEGER) AS i, "
+    f"CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, count FROM ({_CLUSTERS_SQL})",
+)
 def _(spark, sf_dir):
     base = storage.fresh_dir(spark, "jsonl")
-    results.write_json_lines(results.cluster_rows(_cluster_lines(spark, sf_dir)), f"{base}/in")
+    good = results.json_lines(results.cluster_rows(_cluster_lines(spark, sf_dir)))
+    bad = _table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select(F.concat(F.lit('{"batch_id": '), F.col("vec_id").cast("string"), F.lit(", [")).alias("value"))
+    good.unionByName(bad).write.text(f"{base}/in")
     results.json_lines_to_csv(spark, f"{base}/in", f"{base}/out")
     rows = spark.read.option("header", True).option("escape", '"').schema("batch_id int, print_id string, tile_id int, saturated int, centroids string").csv(f"{base}/out")
-    found = F.from_json("centroids", results.CENTROIDS)
-    return rows.select("batch_id", F.aggregate(found, F.lit(0).cast("long"), lambda a, c: a + c["count"]).alias("points"))
+    found = rows.select("batch_id", "tile_id", "saturated", F.posexplode(F.from_json("centroids", results.CENTROIDS)).alias("i", "c"))
+    return found.select("batch_id", "tile_id", "saturated", "i", "c.x", "c.y", "c.count")
 
 
 @_query("b13_first_wins_dedupe", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r = 1")
@@ -314,11 +339,18 @@ def _(spark, sf_dir):
     return measurements.first_wins(_table(spark, sf_dir, "events"), ["user_id"], ["event_id"]).select("user_id", "event_id", "event_type")
 
 
-@_query("k17_debug_text", f"WITH {oracle.OUTLIERS} SELECT batch_id, printf('(%d,%d):', x, y) AS text FROM rnk WHERE rn = 1")
+@_query(
+    "k17_debug_text",
+    f"""WITH {oracle.OUTLIERS}, s AS (SELECT batch_id, tile_id, layer, CAST(sum(CASE WHEN t > 65000 THEN 1 ELSE 0 END) AS INTEGER) AS n FROM px GROUP BY batch_id, tile_id, layer)
+SELECT s.batch_id, printf('(%d,%d):', x, y) || CAST(deviation AS VARCHAR) AS outlier,
+       printf('tile %d of print P0, layer %d, batch %d: %d saturated', tile_id, layer, s.batch_id, n) AS tile
+FROM rnk JOIN s ON s.batch_id = rnk.batch_id WHERE rn = 1""",
+)
 def _(spark, sf_dir):
-    found = stencil.outliers(_packed(spark, sf_dir)).where(F.size("outliers") > 0)
-    text = formats.outlier_debug_text(F.get("outliers", F.lit(0)))
-    return found.select("batch_id", F.regexp_extract(text, r"^(\(\d+,\d+\):)", 1).alias("text"))
+    found = stencil.outliers(saturation.with_saturation(_packed(spark, sf_dir))).where(F.size("outliers") > 0)
+    outlier = formats.outlier_debug_text(F.get("outliers", F.lit(0)))
+    tile = formats.tile_debug_text(*(F.col(c) for c in ("batch_id", "print_id", "tile_id", "layer", "saturated")))
+    return found.select("batch_id", outlier.alias("outlier"), tile.alias("tile"))
 
 
 # Messages
@@ -355,25 +387,31 @@ def _(spark, sf_dir):
     "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')",
 )
 def _(spark, sf_dir):
-    rows = _table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O")).select("o_orderkey", "o_orderstatus")
-    return rows.replace({"F": "finished"}, subset=["o_orderstatus"])
+    path = f"{storage.fresh_dir(spark, 'statistics')}/csv"
+    results.write_csv(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), path)
+    rows = results.read_statistics(spark, path, ["F", "O"], {"F": "finished"}, "o_orderstatus")
+    return rows.select(F.col("o_orderkey").cast("long"), "o_orderstatus")
 
 
 @_query("c5_not_null_filter", "SELECT event_id FROM events WHERE CASE WHEN event_id % 4 <> 0 THEN value END IS NOT NULL")
 def _(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("v"))
-    return rows.where(F.col("v").isNotNull()).select("event_id")
+    return rows.where(predicates.present(F.col("v"))).select("event_id")
 
 
 @_query("h4_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 160")
 def _(spark, sf_dir):
-    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(160)
+    return first_messages(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey"), 160)
 
 
-@_query("c12_query_type", "SELECT DISTINCT event_type, CASE WHEN contains(event_type, 'ur') THEN 'q1' WHEN contains(event_type, 'i') THEN 'q2' ELSE 'q3' END AS query FROM events")
+@_query(
+    "c12_query_type",
+    "SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 4 THEN NULL ELSE 'query' || (event_id % 5) END AS query FROM events",
+)
 def _(spark, sf_dir):
-    kind = F.when(F.contains("event_type", F.lit("ur")), "q1").when(F.contains("event_type", F.lit("i")), "q2").otherwise("q3")
-    return _table(spark, sf_dir, "events").select("event_type", kind.alias("query")).distinct()
+    n = F.col("event_id") % 5
+    topic = F.when(n == 0, "gc-batches").otherwise(F.concat(F.lit("dev.query"), n.cast("string"), F.lit("-results")))
+    return _table(spark, sf_dir, "events").select("event_id", query_of_column(topic).alias("query"))
 
 
 # Measurements
@@ -457,9 +495,32 @@ def _outlier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(stream_outliers(saturation.with_saturation(tiles.packed(_tile_stream(spark, sf_dir)))), "q2")
 
 
-@_query("g1_stream_count_window", f"SELECT vec_id AS batch_id, row_number() {_LAG} >= {WINDOW_LAYERS} AND vec_id IN (SELECT batch_id FROM ({_OUTLIERS_SQL})) AS has_outliers FROM embeddings")
+_WINDOWS_SQL = f"""WITH {oracle.OUTLIERS}, n AS (SELECT batch_id, count(*) AS n, max(deviation) AS top FROM outl GROUP BY batch_id),
+s AS (SELECT batch_id, CAST(sum(CASE WHEN t > 65000 THEN 1 ELSE 0 END) AS INTEGER) AS saturated FROM px GROUP BY batch_id)
+SELECT vec_id AS batch_id, vec_id % 16 AS tile_id, vec_id // 16 AS layer, saturated, CAST(coalesce(n, 0) AS INTEGER) AS outliers, top
+FROM embeddings JOIN s ON s.batch_id = vec_id LEFT JOIN n ON n.batch_id = vec_id"""
+
+
+def _window_rows(found: DataFrame) -> DataFrame:
+    """Every arrival's window: its tile, and its outliers' number and largest deviation."""
+    return found.select("batch_id", "tile_id", "layer", "saturated", F.size("outliers").alias("outliers"), F.get("outliers", F.lit(0))["deviation"].alias("top"))
+
+
+@_query("g1_stream_count_window", _WINDOWS_SQL)
 def _(spark, sf_dir):
-    return _outlier_stream(spark, sf_dir).select("batch_id", (F.size("outliers") > 0).alias("has_outliers"))
+    return _window_rows(_outlier_stream(spark, sf_dir))
+
+
+@_query("g2_rocksdb_count_window", _WINDOWS_SQL)
+def _(spark, sf_dir):
+    """The same with the state of keys in RocksDB, as the command line keeps it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        return _window_rows(_outlier_stream(spark, sf_dir))
+    finally:
+        spark.conf.set(name, before)
 
 
 @_query("q2_stream", _OUTLIERS_SQL)
@@ -477,3 +538,58 @@ def _(spark, sf_dir):
     # A file sink keeps no updates, so the drained stream is counted again: seconds that micro-batches share add up.
     rows = drained(_stream(spark, sf_dir, "events").select("ts"), "events")
     return throughput_windows(rows, "ts")
+
+
+@_query(
+    "g6_stream_meter",
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+m AS (SELECT user_id, rn, ms, ms AS began, 1 AS n, CAST(NULL AS DOUBLE) AS per_second FROM e WHERE rn = 1
+      UNION ALL
+      SELECT e.user_id, e.rn, e.ms, CASE WHEN e.ms - m.began >= 1000 THEN e.ms ELSE m.began END, CASE WHEN e.ms - m.began >= 1000 THEN 0 ELSE m.n + 1 END,
+             CASE WHEN e.ms - m.began >= 1000 THEN CAST(m.n + 1 AS DOUBLE) / (CAST(e.ms - m.began AS DOUBLE) / CAST(1000 AS DOUBLE)) END
+      FROM m JOIN e ON e.user_id = m.user_id AND e.rn = m.rn + 1)
+SELECT CAST(user_id AS VARCHAR) AS key, ms, per_second FROM m WHERE per_second IS NOT NULL""",
+)
+def _(spark, sf_dir):
+    """The meter that elements drive: a reading whenever a second or more has passed since the key's last."""
+    return drained(stream_throughput(_stream(spark, sf_dir, "events"), "user_id", "ts"), "meter")
+
+
+# Result files, written and read back
+
+
+@_query(
+    "a15_run_log",
+    "SELECT event_id AS count, event_id % 5 AS missing, CAST(event_id AS DOUBLE) / 4 AS throughput, "
+    "CAST(event_id % 7 * 1000 + event_id % 1000 AS DOUBLE) AS latency_mean FROM events",
+)
+def _(spark, sf_dir):
+    path, e = f"{storage.fresh_dir(spark, 'runs')}/log", F.col("event_id")
+    run = F.struct(
+        e.alias("count"), (e % 5).alias("missing"), (e / 4).alias("throughput"), F.format_string("%ds%dms", e % 7, e % 1000).alias("latency_mean")
+    )
+    _table(spark, sf_dir, "events").select(F.to_json(run).alias("value")).write.text(path)
+    rows = results.read_run_log(spark, path)
+    return rows.select(F.col("count").cast("long"), F.col("missing").cast("long"), "throughput", "latency_mean")
+
+
+@_query("b14_statistics_csv", ORACLE_SQL["e4_perf_stats"])
+def _(spark, sf_dir):
+    path = f"{storage.fresh_dir(spark, 'statistics')}/csv"
+    found = measurements.run_statistics(_table(spark, sf_dir, "lineitem"), "l_returnflag", ["l_quantity"])
+    results.write_csv(found, path)
+    return spark.read.option("header", True).schema(found.schema).csv(path)
+
+
+@_query(
+    "b9_names_and_headers",
+    "SELECT * FROM (VALUES ('query1_20240102_030405.csv', 'seq_id,print_id,tile_id,saturated'), "
+    "('query2_20240102_030405.csv', 'seq_id,print_id,tile_id,P1,dP1,P2,dP2,P3,dP3,P4,dP4,P5,dP5'), "
+    "('query3_20240102_030405.jsonl', 'batch_id,print_id,tile_id,saturated,centroids')) AS t(name, header)",
+)
+def _(spark, sf_dir):
+    when = datetime(2024, 1, 2, 3, 4, 5)
+    ends = {RESULTS[2]: "jsonl"}
+    return spark.createDataFrame(
+        [(results.output_name(t, when, ends.get(t, "csv")), ",".join(formats.HEADERS[t.removesuffix("-results")])) for t in RESULTS], "name string, header string"
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,20 +53,25 @@ def run_batch(packed: DataFrame, topics: Topics, queries: tuple[str, ...] = QUER
 def run_stream(packed: DataFrame, topics: Topics, checkpoint: str, queries: tuple[str, ...] = QUERIES, once: bool = True):
     """The same on a stream: q1 has no exchange and its own query; q2 and q3 share one stateful exchange and one pass.
 
-    After a failure a micro-batch may be written again; ``first_wins`` on the batch id removes what repeats.
+    A micro-batch that is written again after a failure replaces what it wrote
+    to a folder; to Kafka it writes once more, and ``first_wins`` on the batch
+    id removes what repeats. A batch is told by the checkpoint and its number.
     """
     tiles, running = with_saturation(packed), []
+    run = re.sub(r"\W+", "-", checkpoint).strip("-")
     if "q1" in queries:
         running.append(topics.write_stream(q1_lines(tiles), RESULTS[0], f"{checkpoint}/q1", once))
     if "q2" in queries or "q3" in queries:
 
         def publish(found: DataFrame, batch: int) -> None:
             found = found.persist()
-            if "q2" in queries:
-                topics.write(q2_lines(found), RESULTS[1])
-            if "q3" in queries:
-                topics.write(q3_lines(clusters(found)), RESULTS[2])
-            found.unpersist()
+            try:
+                if "q2" in queries:
+                    topics.write(q2_lines(found), RESULTS[1], f"{run}-{batch}")
+                if "q3" in queries:
+                    topics.write(q3_lines(clusters(found)), RESULTS[2], f"{run}-{batch}")
+            finally:
+                found.unpersist()
 
         out = stream_outliers(tiles).writeStream.foreachBatch(publish).option("checkpointLocation", f"{checkpoint}/q23")
         running.append((out.trigger(availableNow=True) if once else out).start())

@@ -69,3 +69,21 @@ def centroids(eps: float, min_points: int) -> str:
     return labels(eps, min_points) + """
 SELECT batch_id, label, CAST(sum(y) AS DOUBLE) / count(*) AS x, CAST(sum(x) AS DOUBLE) / count(*) AS y, CAST(count(*) AS INTEGER) AS count
 FROM labelled WHERE label >= 0 GROUP BY batch_id, label"""
+
+
+def cluster_lines(eps: float, min_points: int) -> str:
+    """Lines of the third query; hundredths of centroids are whole numbers, rounded half up."""
+
+    def hundredths(total: str) -> str:
+        return f"((200 * sum({total}) + count(*)) // (2 * count(*)))"
+
+    def written(total: str) -> str:
+        return f"CAST({hundredths(total)} // 100 AS BIGINT), CAST({hundredths(total)} % 100 AS BIGINT)"
+
+    return labels(eps, min_points) + f""",
+centres AS (SELECT batch_id, label, printf('{{''x'': %d.%02d; ''y'': %d.%02d; ''count'': %d}}', {written('y')}, {written('x')}, count(*)) AS text
+            FROM labelled WHERE label >= 0 GROUP BY batch_id, label),
+lists AS (SELECT batch_id, string_agg(text, ', ' ORDER BY label) AS text FROM centres GROUP BY batch_id),
+bright AS (SELECT batch_id, CAST(sum(CASE WHEN t > 65000 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM px GROUP BY batch_id)
+SELECT printf('%d,P0,%d,%d,[%s]', v.vec_id, v.vec_id % 16, bright.n, coalesce(lists.text, '')) AS value
+FROM embeddings v JOIN bright ON bright.batch_id = v.vec_id LEFT JOIN lists ON lists.batch_id = v.vec_id"""

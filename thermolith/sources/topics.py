@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +21,17 @@ def query_of(topic: str) -> str | None:
     return next((q.removesuffix("-results") for q in RESULTS if q.removesuffix("-results") in topic), None)
 
 
+def query_of_column(topic: Column) -> Column:
+    """The same for a column of topic names."""
+    names = [q.removesuffix("-results") for q in RESULTS]
+    return F.coalesce(*(F.when(topic.contains(q), q) for q in names))
+
+
+def first_messages(messages: DataFrame, limit: int | None) -> DataFrame:
+    """So many of the messages at hand, or all."""
+    return messages if limit is None else messages.limit(limit)
+
+
 @dataclass(frozen=True)
 class Topics:
     """``servers`` names Kafka brokers; without them topics are folders below ``folder``."""
@@ -41,13 +52,15 @@ class Topics:
     def read(self, spark: SparkSession, topic: str) -> DataFrame:
         if self.servers:
             return spark.read.format("kafka").options(**self._kafka(), subscribe=topic, startingOffsets="earliest").load()
-        return spark.read.schema("value binary").parquet(f"{self.folder}/{topic}")
+        return spark.read.schema("value binary").option("recursiveFileLookup", "true").parquet(f"{self.folder}/{topic}")
 
-    def write(self, messages: DataFrame, topic: str) -> None:
-        """Append messages (column value)."""
+    def write(self, messages: DataFrame, topic: str, batch: str | None = None) -> None:
+        """Append messages (column value); in a folder, a batch that is written again replaces itself."""
         rows = messages.select(F.col("value").cast("binary").alias("value"))
         if self.servers:
             rows.write.format("kafka").options(**self._kafka(), topic=topic).save()
+        elif batch is not None:
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{topic}/{batch}")
         else:
             rows.write.mode("append").parquet(f"{self.folder}/{topic}")
 

@@ -14,6 +14,9 @@ from ..constants import WINDOW_LAYERS
 from ..operators.stencil import outliers_in
 from ..operators.tiles import KEYS
 
+#: Provider that keeps the state of keys in RocksDB, compressed, on the executors' disks.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _TILE = ("layer", "seq", "batch_id", "saturated", "height", "width", "pixels")
 _STATE = "layer array<bigint>, seq array<bigint>, batch_id array<bigint>, saturated array<int>, height array<int>, width array<int>, pixels array<binary>"
 _OUT = "print_id string, tile_id bigint, seq bigint, batch_id bigint, layer bigint, saturated int, y array<int>, x array<int>, deviation array<double>"
