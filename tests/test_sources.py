@@ -461,3 +461,21 @@ def test_core_queries_stand_without_the_optional_package(monkeypatch):
     names = set(__spark_entry__.queries())
     assert "h2_top5_outliers" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_sliding_median_over_nulls_nan_ties_and_keys(spark):
+    import math
+    import statistics
+
+    from thermolith.operators.measurements import sliding_median
+
+    rng = np.random.default_rng(2)
+    rows = [(k, i, None if i % 7 == 3 else float(rng.integers(0, 9)), "x") for k in (None, 1, 2) for i in range(60)] + [(3, i, math.nan if i < 4 else 1.0, "x") for i in range(12)]
+    frame = spark.createDataFrame(rows, "k int, i int, v double, extra string").repartition(5)
+    found = {(r["k"], r["i"]): r["median"] for r in sliding_median(frame, "v", ["k"], ["i"], 10).collect()}
+    for k, i, _, _ in rows:
+        held = [v for j, _, v, _ in [(x[0], 0, x[2], 0) for x in rows if x[0] == k and i - 10 < x[1] <= i] if v is not None]
+        held.sort(key=lambda v: math.inf if v != v else v)
+        want = statistics.median(held) if all(v == v for v in held) else (held[(len(held) - 1) // 2] + held[len(held) // 2]) / 2
+        assert found[k, i] == pytest.approx(want, nan_ok=True), (k, i)
+    assert sliding_median(frame.where("false"), "v", ["k"], ["i"]).count() == 0

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +38,50 @@ def running_count(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return rows.withColumn("elements", F.count("*").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+class LastSamples:
+    """The last ``size`` samples, also in order of value; nulls take a place but don't count, and NaN is the largest."""
+
+    def __init__(self, size: int):
+        self._arrived: deque[float | None] = deque(maxlen=size)
+        self._ordered: list[float] = []
+        self._nans = 0
+
+    def add(self, value: float | None) -> float | None:
+        """Take a sample and give the median of those held; of an even number, the mean of the middle two."""
+        if len(self._arrived) == self._arrived.maxlen and (old := self._arrived[0]) is not None:
+            if old != old:
+                self._nans -= 1
+            else:
+                del self._ordered[bisect_left(self._ordered, old)]
+        self._arrived.append(value)
+        if value is not None:
+            if value != value:
+                self._nans += 1
+            else:
+                insort(self._ordered, value)
+        n = len(self._ordered) + self._nans
+        return (self._at((n - 1) // 2) + self._at(n // 2)) / 2 if n else None
+
+    def _at(self, i: int) -> float:
+        return self._ordered[i] if i < len(self._ordered) else math.nan
+
+
 def sliding_median(rows: DataFrame, measure: str, keys: list[str], order: list[str], size: int = RESERVOIR) -> DataFrame:
-    """Median of the last ``size`` samples of the key; of an even number, the mean of the middle two."""
-    last = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, 0)
-    kept = F.array_sort(F.collect_list(measure).over(last))
-    n = F.size(kept)
-    middle = (F.get(kept, F.floor((n - 1) / 2).cast("int")) + F.get(kept, F.floor(n / 2).cast("int"))) / 2
-    return rows.withColumn("median", middle)
+    """Median of the last ``size`` samples of the key, in a sorted window that each sample enters and leaves once."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, window = None, LastSamples(size)
+        for batch in batches:
+            medians, at = [], batch.schema.get_field_index("median")
+            key_of = zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys), strict=True)
+            for key, value in zip(key_of, batch.column(at).to_pylist(), strict=True):
+                if key != own:
+                    own, window = key, LastSamples(size)
+                medians.append(window.add(value))
+            yield batch.set_column(at, "median", pa.array(medians, pa.float64()))
+
+    sorted_rows = rows.withColumn("median", F.col(measure).cast("double")).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return sorted_rows.mapInArrow(fold, sorted_rows.schema)
 
 
 def throughput_by_second(rows: DataFrame, ts: str) -> DataFrame:
