@@ -438,3 +438,13 @@ def test_sequences_follow_the_mixture(spark, documents, monkeypatch):
         have, want = Counter(source[i] for i in order[:at]), Counter(source[i] for i in by_place[:at])
         assert all(abs(have[s] - want[s]) <= 0.1 * at for s in sizes), (at, have, want)
     assert max(r["stretch"] for r in packed) == len(order) // 256 and len({r["sequence_id"] >> 32 for r in packed}) > 4
+
+
+def test_a_hot_arc_is_ranked_in_parts(documents, monkeypatch):
+    monkeypatch.setattr(sharding, "RANKED_TOGETHER", 50)
+    rows = sharding.assign_shards(documents([(None if i % 2 else i, "t", "a") for i in range(1000)]).repartition(4), shards=6).collect()
+    slots: dict[int, list] = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert Counter(r["doc_id"] is None for r in rows) == {True: 500, False: 500}
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {len(s) for s in slots.values()} <= {166, 167}

@@ -39,7 +39,6 @@ SHARDS = 24
 POINTS = 64
 #: Documents of an arc that are ranked together, about.
 RANKED_TOGETHER = 100_000
-SALTS = 16
 
 
 def ring(shards: int, points: int = POINTS) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +113,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, i
         filled[shard] += end - first
     table = spark.createDataFrame(segments, "arc int, first long, end long, shard int, home int, base long")
 
-    parts = max(1, -(-total // (len(owners) * RANKED_TOGETHER)))
-    sub = placed.withColumn("sub", F.pmod(F.col("where"), F.lit(parts)) * SALTS + F.pmod(F.col("row"), F.lit(SALTS)))
+    # As many sub-groups as an arc's own number of rows asks for, so an id that many rows share is split too. One row per arc.
+    salts = spark.createDataFrame([(a, max(1, -(-n // RANKED_TOGETHER))) for a, n in arcs.items()], "arc int, salts int")
+    sub = placed.join(F.broadcast(salts), "arc").withColumn("sub", F.pmod(F.col("row"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("arc").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = sub.groupBy("arc", "sub").count().select("arc", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     order = Window.partitionBy("arc", "sub").orderBy("where", "row")
