@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import forget, fresh_dir, saved, shared_dir
 
-__all__ = ["forget", "free", "fresh_dir", "saved", "shared_dir", "shuffle_width"]
+__all__ = ["forget", "free", "fresh_dir", "saved", "shared_dir", "shuffle_width", "tidy"]
+
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(kernel: Kernel) -> Kernel:
+    """The same kernel; at its end the worker, which later tasks use again, gives freed memory back to the system."""
+
+    @functools.wraps(kernel)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -173,9 +173,9 @@ def _rows(index: CuckooIndex, size: int = 10_000) -> Iterator[pa.RecordBatch]:
 def classes(keys: DataFrame) -> DataFrame:
     """One row per distinct key: how many rows have it, and the doc_id that stays."""
     ones = keys.select("key", F.lit(1).cast("long").alias("n"), "chars", F.col("doc_id").alias("keep_id"))
-    local = common.saved(ones.mapInArrow(lambda b: _folded(b, LOCAL_KEYS), CLASSES), "local-keys")
+    local = common.saved(ones.mapInArrow(common.tidy(lambda b: _folded(b, LOCAL_KEYS)), CLASSES), "local-keys")
     width = max(common.shuffle_width(keys.sparkSession), -(-local.count() // ROWS_EACH))
-    return local.repartition(width, "key").mapInArrow(lambda b: _folded(b, None), CLASSES)
+    return local.repartition(width, "key").mapInArrow(common.tidy(lambda b: _folded(b, None)), CLASSES)
 
 
 def live(changes: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ STEP, TOLERANCE = 16, 1e-6
 #: Nodes, and n-grams of them, that a block of a bucket holds, about; a task compares a block with itself or with another.
 BLOCK_ROWS, BLOCK_GRAMS = 1024, 4_000_000
 #: Pairs looked at together, and nodes from which a task's n-grams are counted by matrix products.
-PAIRS_EACH, DENSE = 1 << 19, 64
+PAIRS_EACH, DENSE = 1 << 18, 64
 SEED = 4
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -107,7 +107,7 @@ def sketched(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
             columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "key", "size", "signature"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(sketch, "doc_id long, text_hash long, key binary, size long, signature binary")
+    return _texts(docs, id_col, text_col).mapInArrow(common.tidy(sketch), "doc_id long, text_hash long, key binary, size long, signature binary")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -196,11 +196,11 @@ def _blocks(rows: Column, grams: Column, own: Column) -> Column:
     )
 
 
-TASK = ["bucket", "a", "b"]
+TASK, TOGETHER = ["bucket", "a", "b"], 2000
 
 
 def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole tasks, some together, from batches in order of TASK and ``right``, with the number of each row's task."""
+    """Whole tasks, about TOGETHER rows of them, from batches in order of TASK and ``right``, with the number of each row's task."""
     held: list[pa.RecordBatch] = []
 
     def starts(table: pa.Table) -> np.ndarray:
@@ -216,10 +216,12 @@ def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
         held.append(batch)
         table = pa.Table.from_batches(held)
         new = starts(table)
-        cuts = np.flatnonzero(new)
-        if len(cuts):  # the last task may go on in the next batch
-            yield table.slice(0, cuts[-1]), np.cumsum(new[: cuts[-1]])
-            held = table.slice(cuts[-1]).combine_chunks().to_batches()
+        cuts, at = np.flatnonzero(new).tolist(), 0
+        for i, cut in enumerate(cuts):  # the last task may go on in the next batch
+            if i + 1 == len(cuts) or cuts[i + 1] - at > TOGETHER:
+                yield table.slice(at, cut - at), np.cumsum(new[at:cut]) - new[at]
+                at = cut
+        held = table.slice(at).combine_chunks().to_batches() if at else held
     if held:
         table = pa.Table.from_batches(held)
         yield table, np.cumsum(starts(table))
@@ -263,7 +265,7 @@ def _overlaps(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) ->
     steps = np.cumsum(sizes[small])
     at = 0
     while at < len(first):
-        end = max(at + 1, int(np.searchsorted(steps, (steps[at - 1] if at else 0) + 4 * PAIRS_EACH)))
+        end = max(at + 1, int(np.searchsorted(steps, (steps[at - 1] if at else 0) + 2 * PAIRS_EACH)))
         own = sizes[small[at:end]]
         index = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(start[small[at:end]], own)
         wanted = np.repeat(large[at:end], own) * len(grams) + number[index]
@@ -359,7 +361,7 @@ def _classed(docs: DataFrame, threshold: float, words: int, tolerance: float, id
             if len(staying):
                 yield from table.select(["key", *TASK, "band", "right"]).take(pa.array(staying)).combine_chunks().to_batches(max_chunksize=10_000)
 
-    asked = dealt(rows.join(marked, "key")).mapInArrow(compare, "key binary, bucket long, a int, b int, band int, right int")
+    asked = dealt(rows.join(marked, "key")).mapInArrow(common.tidy(compare), "key binary, bucket long, a int, b int, band int, right int")
     asked = common.saved(asked, "asked")
 
     # Nodes with pairs are a share of the documents, so their list is never broadcast: small tables then cost as large ones do.
@@ -374,7 +376,7 @@ def _classed(docs: DataFrame, threshold: float, words: int, tolerance: float, id
             # Should texts with one id share a hash, only those with the node's set count.
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(grams, pa.binary())], ["key", "n", "grams"]).filter(pa.array(same, pa.bool_()))
 
-    sets = sent.mapInArrow(gather, "key binary, n long, grams binary").dropDuplicates(["key"])
+    sets = sent.mapInArrow(common.tidy(gather), "key binary, n long, grams binary").dropDuplicates(["key"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, task in _tasks(batches):
@@ -390,7 +392,7 @@ def _classed(docs: DataFrame, threshold: float, words: int, tolerance: float, id
             yield from pa.table(columns, ["key", "links", "to"]).combine_chunks().to_batches(max_chunksize=10_000)
 
     sets = common.saved(sets, "sets")
-    found = common.saved(dealt(asked.join(sets.join(marked, "key"), "key")).mapInArrow(verify, "key binary, links long, to binary"), "links")
+    found = common.saved(dealt(asked.join(sets.join(marked, "key"), "key")).mapInArrow(common.tidy(verify), "key binary, links long, to binary"), "links")
     common.forget(banded, asked, sets)
     totals = found.groupBy("key").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("to").alias("u"), F.col("key").alias("v")))

@@ -53,7 +53,7 @@ ASKED, POWER, ASKED_EACH = 3.0, 0.75, 10
 #: Rows, and numbers in all, of the sample whose strings tell the level of a query.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 1 << 20
 #: Rows of one sorted array, about; rows that a task hashes at once; rows of a block that distances are taken in; ids of candidates that meet there, about.
-RANGE_ROWS, CHUNK_ROWS, BLOCK_ROWS, PAIRS_EACH = 262_144, 65_536, 8192, 4_000_000
+RANGE_ROWS, CHUNK_ROWS, BLOCK_ROWS, PAIRS_EACH = 262_144, 65_536, 16_384, 4_000_000
 SEED = 2
 
 RANGES = "tree int, prefix long, part int, codes binary, reps binary"
@@ -119,7 +119,7 @@ def candidates(vectors: DataFrame, queries: DataFrame, n: int, least: int, asked
     """For each query (rep, v) the ids of the rows of ``vectors`` (rep, v; n distinct ones) that the forest finds, by block; an id may come from several trees."""
     spark = vectors.sparkSession
     asked = max(ASKED_EACH * least, ASKED * n**POWER) if asked is None else asked
-    symbols = min(SYMBOLS, 2 + math.ceil(math.log(max(n, 2)) / math.log(1 << BITS)))
+    symbols = min(SYMBOLS, 1 + math.ceil(math.log(max(n, 2)) / math.log(1 << BITS)))
     depth = 0
     while n >> (BITS * depth) > range_rows and depth < symbols:
         depth += 1

@@ -69,10 +69,11 @@ def tokenized_pieces(
                     part = data[at : at + 4 * capacity]
                     out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), *((source,) if source_col else ())))
             yield _rows(out, schema)
+        enc.clear()
 
     schema = PIECES + (", source string" if source_col else "")
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
-    return docs.select(*columns, *([F.col(source_col).cast("string").alias("source")] if source_col else ())).mapInArrow(cut, schema)
+    return docs.select(*columns, *([F.col(source_col).cast("string").alias("source")] if source_col else ())).mapInArrow(common.tidy(cut), schema)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}

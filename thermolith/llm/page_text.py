@@ -296,7 +296,7 @@ def counted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 columns = zip(*rows[i : i + 20_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
-    found = _with_host(pages, id_col, url_col, html_col).select("host", "html").mapInArrow(count, FOUND)
+    found = _with_host(pages, id_col, url_col, html_col).select("host", "html").mapInArrow(common.tidy(count), FOUND)
     node = ["host", "node", "tags", "parent", "heading"]
     once = found.groupBy(*node, "kind", "value", "copy").agg(F.max("chars").alias("chars"), F.max("chance").alias("chance"), F.max("pairs").alias("pairs"))
     values = once.groupBy(*node, "kind", "value").agg(F.count("*").alias("c"), F.max("chars").alias("chars"), F.sum("chance").alias("chance"), F.sum("pairs").alias("pairs"))
@@ -394,9 +394,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     rows = _with_host(pages, id_col, url_col, html_col)
     types = dict(rows.dtypes)
-    packed = rows.mapInArrow(blocks, f"page_id {types['page_id']}, url {types['url']}, host long, blocks binary")
+    packed = rows.mapInArrow(common.tidy(blocks), f"page_id {types['page_id']}, url {types['url']}, host long, blocks binary")
     joined = packed.join(judged, "host", "left").select("page_id", "url", "blocks", "gone_tags", "gone", "kept")
-    return joined.mapInArrow(prune, f"page_id {types['page_id']}, url {types['url']}, text string")
+    return joined.mapInArrow(common.tidy(prune), f"page_id {types['page_id']}, url {types['url']}, text string")
 
 
 def op10_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,7 +136,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(measure, "doc_id long, stats array<double>")
+    return rows.mapInArrow(common.tidy(measure), "doc_id long, stats array<double>")
 
 
 def remainder(doc_id: Column) -> Column:
@@ -269,7 +269,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, fit
             if stats:
                 yield batch.filter(pa.array(model.score(np.array(stats)) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(common.tidy(keep), docs.schema)
 
 
 def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

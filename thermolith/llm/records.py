@@ -78,6 +78,15 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
 
+def _moved(store, scratch: str, final: str) -> None:
+    """Give a file its final name, also where an earlier attempt of the same task has left one."""
+    from pyarrow import fs
+
+    if store.get_file_info(final).type != fs.FileType.NotFound:
+        store.delete_file(final)
+    store.move(scratch, final)
+
+
 def read_entry(path: str, at: int) -> tuple[int | None, np.ndarray]:
     """The record number ``at`` of a file, found through its index without reading what stands before it."""
     store, where = _filesystem(path)
@@ -128,11 +137,12 @@ def write_records(
                 at += len(data)
                 n_docs += 1
                 n_tokens += len(ids)
+        enc.clear()
         if rec is not None:
             rec.close()
             idx.close()
             for kind in (".idx", ".rec"):
-                store.move(scratch + kind, final + kind)
+                _moved(store, scratch + kind, final + kind)
             yield pa.RecordBatch.from_pydict(
                 {
                     "file": pa.array([number], pa.int32()),
@@ -144,7 +154,7 @@ def write_records(
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(common.shuffle_width(docs.sparkSession), "id").sortWithinPartitions("id")
-    return common.saved(dealt.mapInArrow(write, FILES), "record-files")
+    return common.saved(dealt.mapInArrow(common.tidy(write), FILES), "record-files")
 
 
 def read_records(files: DataFrame) -> DataFrame:

@@ -72,6 +72,10 @@ class Encoder:
         self._memo: dict[str, bytes] = {}
         self.size = self._tokenizer.get_vocab_size()
 
+    def clear(self) -> None:
+        """Forget the memo: at the end of a task, as the next one gains little by it."""
+        self._memo.clear()
+
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
