@@ -50,7 +50,7 @@ VALUES = 128
 #: Values compared before pairs are dropped again, and the posterior probability below which they are.
 STEP, TOLERANCE = 16, 1e-6
 #: Nodes, and n-grams of them, that a block of a bucket holds, about; a task compares a block with itself or with another.
-BLOCK_ROWS, BLOCK_GRAMS = 1024, 4_000_000
+BLOCK_ROWS, BLOCK_GRAMS = 512, 4_000_000
 #: Pairs looked at together, and nodes from which a task's n-grams are counted by matrix products.
 PAIRS_EACH, DENSE = 1 << 18, 64
 SEED = 4
