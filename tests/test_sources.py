@@ -298,6 +298,17 @@ def test_command_line(spark, topic, tmp_path, monkeypatch):
         cli.main(["run", "--folder", "x", "--servers", "y"])
 
 
+def test_all_at_once_over_the_first_messages(spark, topic, tmp_path, monkeypatch):
+    old, _ = topic
+    topics = Topics(str(tmp_path / "topics"))
+    topics.write(old.read(spark, BATCHES), BATCHES)
+    monkeypatch.setattr(cli, "session", lambda metrics=False: spark)
+    cli.main(["all", "--folder", topics.folder, "--output", str(tmp_path / "out"), "--limit", "48"])
+    files = {p.name.split("_")[0]: p for p in (tmp_path / "out").iterdir()}
+    assert sorted(files) == ["query1", "query2", "query3"]
+    assert spark.read.option("header", True).csv(str(files["query1"])).count() == spark.read.json(str(files["query3"])).count() == 48
+
+
 def test_stream_meter_and_idle_stop(spark, tmp_path):
     spark.sql("select id, timestamp_millis(id * 400) ts, 'k' key from range(10)").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, ts timestamp, key string").parquet(str(tmp_path / "in"))
@@ -479,3 +490,28 @@ def test_sliding_median_over_nulls_nan_ties_and_keys(spark):
         want = statistics.median(held) if all(v == v for v in held) else (held[(len(held) - 1) // 2] + held[len(held) // 2]) / 2
         assert found[k, i] == pytest.approx(want, nan_ok=True), (k, i)
     assert sliding_median(frame.where("false"), "v", ["k"], ["i"]).count() == 0
+
+
+def test_charts(spark, tmp_path, monkeypatch):
+    import logging
+    from xml.etree import ElementTree
+
+    from thermolith.sources import charts
+
+    rows = [("a<b", 16.25, 1.5, 1400.0, None), ("c", 3.0, 0.1, 22000.0, 600.0), ("d", 0.0, 0.0, 0.0, 0.0)]
+    stats = spark.createDataFrame(rows, "config string, throughput_mean double, throughput_stdev double, latency_mean double, latency_stdev double")
+    results.write_csv(stats, f"{tmp_path}/stats")
+    monkeypatch.setattr(cli, "session", lambda metrics=False: spark)
+    cli.main(["--log-file", f"{tmp_path}/log", "charts", "--statistics", f"{tmp_path}/stats", "--label", "config", "--output", f"{tmp_path}/out"])
+    drawn = {n: ElementTree.parse(f"{tmp_path}/out/{n}.svg").getroot() for n in ("throughput", "latency", "combined")}
+    name = "{http://www.w3.org/2000/svg}"
+    bars = [r for r in drawn["throughput"].iter(f"{name}rect")]
+    assert [t.text for t in drawn["throughput"].iter(f"{name}text")][-3:] == ["a<b", "c", "d"]
+    heights = [float(r.get("height")) for r in bars]
+    assert heights[1] == pytest.approx(heights[0] * 3.0 / 16.25, abs=0.1) and heights[2] == 0
+    assert len(list(drawn["combined"].iter(f"{name}rect"))) == 6 + 2
+    assert "written" in open(f"{tmp_path}/log").read()
+    with pytest.raises(ValueError, match="at most"):
+        charts.bar_chart("t", ["x"] * 101, {})
+    record = logging.LogRecord("n", logging.ERROR, "f", 1, "bad", None, None)
+    assert cli.Coloured("%(message)s").format(record) == "\033[31mbad\033[0m"

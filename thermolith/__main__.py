@@ -1,4 +1,4 @@
-"""``python -m thermolith``: run the queries over a topic of messages, or drain their results to files."""
+"""``python -m thermolith``: run the queries over a topic of messages, drain their results to files, do both, or draw statistics."""
 
 from __future__ import annotations
 
@@ -12,13 +12,26 @@ from pyspark.sql import SparkSession
 
 from . import storage
 from .plans import monitoring
+from .sources.charts import statistics_charts, write_text
 from .sources.messages import MODES, decode_messages
-from .sources.results import cluster_rows, output_name, result_rows, write_csv, write_json_lines
+from .sources.results import cluster_rows, output_name, read_statistics, result_rows, write_csv, write_json_lines
 from .sources.topics import BATCHES, RESULTS, Topics, first_messages
 from .streaming.windows import ROCKSDB
 
 log = logging.getLogger("thermolith")
 
+# Colours of a terminal by level.
+_COLOURS = {logging.WARNING: "\033[33m", logging.ERROR: "\033[31m", logging.INFO: "\033[36m"}
+
+
+class Coloured(logging.Formatter):
+    """Lines coloured by level."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        line = super().format(record)
+        colour = _COLOURS.get(record.levelno)
+        return f"{colour}{line}\033[0m" if colour else line
+
 
 def session(metrics: bool = False) -> SparkSession:
     builder = SparkSession.builder.appName("thermolith").config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -56,16 +69,38 @@ def drain(args: argparse.Namespace) -> None:
         log.info("%s written to %s", topic, path)
 
 
+def everything(args: argparse.Namespace) -> None:
+    """The queries over all messages at hand, then their results as files."""
+    run(args)
+    drain(args)
+
+
+def charts(args: argparse.Namespace) -> None:
+    """Bar charts of a statistics CSV, one for each measure and one of all."""
+    spark = session()
+    statistics = read_statistics(spark, args.statistics, column=args.label)
+    measures = [c.removesuffix("_mean") for c in statistics.columns if c.endswith("_mean") and f"{c.removesuffix('_mean')}_stdev" in statistics.columns]
+    for name, text in statistics_charts(statistics, args.label, measures).items():
+        write_text(spark, text, f"{args.output}/{name}.svg")
+        log.info("%s.svg written to %s", name, args.output)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="thermolith", description=__doc__)
     commands = p.add_subparsers(required=True)
-    for name, call in (("run", run), ("drain", drain)):
+    p.add_argument("--log-file", help="also write log lines here")
+    c = commands.add_parser("charts", help=charts.__doc__)
+    c.set_defaults(call=charts)
+    c.add_argument("--statistics", required=True)
+    c.add_argument("--label", default="file")
+    c.add_argument("--output", required=True)
+    for name, call in (("run", run), ("drain", drain), ("all", everything)):
         c = commands.add_parser(name, help=call.__doc__)
         c.set_defaults(call=call)
         where = c.add_mutually_exclusive_group(required=True)
         where.add_argument("--folder", help="folder that holds topics as folders of Parquet files")
         where.add_argument("--servers", help="Kafka brokers")
-        if name == "run":
+        if name != "drain":
             c.add_argument("--queries", default="q1,q2,q3")
             c.add_argument("--mode", choices=("batch", "stream"), default="batch")
             c.add_argument("--malformed", choices=MODES, default="FAILFAST")
@@ -75,15 +110,22 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--forever", action="store_true", help="don't stop when all messages at hand are read")
             c.add_argument("--metrics", action="store_true")
             c.add_argument("--profile", action="store_true")
-        else:
+        if name != "run":
             c.add_argument("--output", required=True)
             c.add_argument("--short", action="store_true")
     return p
 
 
 def main(argv: list[str] | None = None) -> None:
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
-    args = parser().parse_args(argv)
+    args, form = parser().parse_args(argv), "%(asctime)s %(message)s"
+    console = logging.StreamHandler()
+    console.setFormatter((Coloured if console.stream.isatty() else logging.Formatter)(form))
+    handlers: list[logging.Handler] = [console]
+    if args.log_file:
+        handlers.append(logging.FileHandler(args.log_file))
+        handlers[-1].setFormatter(logging.Formatter(form))
+    log.handlers[:] = handlers
+    log.setLevel(logging.INFO)
     args.call(args)
 
 
