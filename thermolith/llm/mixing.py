@@ -56,6 +56,7 @@ _EPS = 1e-6
 _SOURCES = "array<struct<i:int,n:bigint,w:double>>"
 _PIECES = "array<struct<t:double,g:double,r:double>>"
 _SHORT = "array<struct<slot:bigint,rows:bigint>>"
+_NAMES = "array<struct<name:string,at:int>>"
 _WINDOW = "struct<due:bigint,release:bigint,source:int,block:bigint>"
 
 
@@ -80,7 +81,7 @@ def _numbered(docs: DataFrame, id_col: str, source_col: str) -> tuple[DataFrame,
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("source", "part").agg(F.count("*").alias("n"))
     starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    places = docs.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(sizes)], "name string, at int")
+    places = docs.sparkSession.range(1).select(F.inline(_table([{"name": s, "at": i} for i, (s, _) in enumerate(sizes)], _NAMES)))
     starts = starts.join(places, F.col("s").eqNullSafe(F.col("name")))
     own = F.row_number().over(Window.partitionBy("source", "part").orderBy("hash", "doc_id")) - 1
     ranked = rows.withColumn("own", own).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
