@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..operators.tiles import KEYS
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _TILE = ("layer", "seq", "batch_id", "saturated", "height", "width", "pixels")
+_NOTHING = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
 _STATE = "layer array<bigint>, seq array<bigint>, batch_id array<bigint>, saturated array<int>, height array<int>, width array<int>, pixels array<binary>"
 _OUT = "print_id string, tile_id bigint, seq bigint, batch_id bigint, layer bigint, saturated int, y array<int>, x array<int>, deviation array<double>"
 
@@ -27,14 +29,15 @@ def _arrivals(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     # Rows of one micro-batch come in any order; the source's number restores theirs.
     new = pd.concat(list(frames)).sort_values("seq", kind="stable")
     rows = []
-    for tile in new[list(_TILE)].to_dict("records"):
+    for values in new[list(_TILE)].itertuples(index=False, name=None):
+        tile = dict(zip(_TILE, values, strict=True))
         held = [*held[1 - WINDOW_LAYERS :], tile]
         window = sorted(held, key=lambda t: (t["layer"], t["seq"]))
         last = window[-1]
-        y, x, deviation = ((), (), ())
+        found = _NOTHING
         if len(window) == WINDOW_LAYERS:
-            y, x, deviation = (a.tolist() for a in outliers_in([bytes(t["pixels"]) for t in window], int(last["height"]), int(last["width"])))
-        rows.append((*key, tile["seq"], last["batch_id"], last["layer"], last["saturated"], list(y), list(x), list(deviation)))
+            found = outliers_in([t["pixels"] for t in window], int(last["height"]), int(last["width"]))
+        rows.append((*key, tile["seq"], last["batch_id"], last["layer"], last["saturated"], *found))
     state.update(tuple([t[c] for t in held[1 - WINDOW_LAYERS :]] for c in _TILE))
     yield pd.DataFrame(rows, columns=[f.split()[0] for f in _OUT.split(", ")])
 
