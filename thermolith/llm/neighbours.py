@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import common
 from .sharding import position
 
-TREES = 192
+TREES, GROVE = 192, 8
 #: Projections that a symbol chooses from, bits of a symbol, and symbols of a string at most.
 PROJECTED, BITS, SYMBOLS = 16, 5, 12
 #: Matches in all trees that a query asks for: this times this power of the number of rows, and so many for each row to return.
@@ -53,7 +53,7 @@ ASKED, POWER, ASKED_EACH = 3.0, 0.75, 10
 #: Rows, and numbers in all, of the sample whose strings tell the level of a query.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 1 << 20
 #: Rows of one sorted array, about; rows that a task hashes at once; rows of a block that distances are taken in; ids of candidates that meet there, about.
-RANGE_ROWS, CHUNK_ROWS, BLOCK_ROWS, PAIRS_EACH = 262_144, 65_536, 16_384, 4_000_000
+RANGE_ROWS, CHUNK_ROWS, BLOCK_ROWS, PAIRS_EACH = 131_072, 65_536, 16_384, 4_000_000
 SEED = 2
 
 RANGES = "tree int, prefix long, part int, codes binary, reps binary"
@@ -190,24 +190,34 @@ def candidates(vectors: DataFrame, queries: DataFrame, n: int, least: int, asked
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in ASKS.split(", ")])
 
     def find(own: pa.Table, asking: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bytes]] = []
+        found: dict[int, list[np.ndarray]] = {}
         if own.num_rows and asking.num_rows:
-            codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.int64)
-            order = np.argsort(codes, kind="stable")
-            reps = np.frombuffer(b"".join(own.column("reps").to_pylist()), np.int64)[order]
-            low, high = hashes.matches(codes[order], asking.column("code").to_numpy(), asking.column("level").to_numpy().astype(np.int64))
-            for rep, a, b in zip(asking.column("rep").to_pylist(), low.tolist(), high.tolist(), strict=True):
-                ids = reps[a:b][reps[a:b] != rep]
-                if len(ids):
-                    block = _block(ids, blocks)
-                    by_block = np.argsort(block, kind="stable")
-                    cuts = np.flatnonzero(np.diff(block[by_block])) + 1
-                    out += [(rep, int(block[x[0]]), ids[x].tobytes()) for x in np.split(by_block, cuts)]
+            trees, asked_trees = own.column("tree").to_numpy(), asking.column("tree").to_numpy()
+            all_codes, all_reps = own.column("codes").to_pylist(), own.column("reps").to_pylist()
+            askers, code, level = (asking.column(c).to_numpy() for c in ("rep", "code", "level"))
+            for tree in np.unique(asked_trees).tolist():
+                chunks, at = np.flatnonzero(trees == tree), asked_trees == tree
+                codes = np.frombuffer(b"".join(all_codes[i] for i in chunks), np.int64)
+                order = np.argsort(codes, kind="stable")
+                reps = np.frombuffer(b"".join(all_reps[i] for i in chunks), np.int64)[order]
+                low, high = hashes.matches(codes[order], code[at], level[at].astype(np.int64))
+                for rep, a, b in zip(askers[at].tolist(), low.tolist(), high.tolist(), strict=True):
+                    if a < b:
+                        found.setdefault(rep, []).append(reps[a:b])
+        out: list[tuple[int, int, bytes]] = []
+        for rep, lists in found.items():
+            ids = np.unique(np.concatenate(lists))
+            ids = ids[ids != rep]
+            block = _block(ids, blocks)
+            by_block = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[by_block])) + 1
+            out += [(rep, int(block[x[0]]), ids[x].tobytes()) for x in np.split(by_block, cuts) if len(x)]
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["rep", "block", "ids"])
 
-    at = ["tree", "prefix", "part"]
-    index, asking = vectors.mapInArrow(ranges, RANGES), queries.mapInArrow(asks, ASKS)
+    # Some trees meet in a task, so that a row that several of them find travels on once.
+    index, asking = (x.withColumn("grove", F.floor(F.col("tree") / GROVE)) for x in (vectors.mapInArrow(common.tidy(ranges), RANGES), queries.mapInArrow(asks, ASKS)))
+    at = ["grove", "prefix", "part"]
     return index.groupBy(*at).cogroup(asking.groupBy(*at)).applyInArrow(find, CANDIDATES)
 
 
