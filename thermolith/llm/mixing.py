@@ -26,11 +26,11 @@ the end of the mixture is the last source alone. ``whole=False`` leaves out
 what comes after the first end, as a choice of the caller.
 
 Cases: a null source is a source of its own and a null doc_id is placed like
-any other; texts are not read; repeated rows are placed as often as they occur;
-a source without a given weight has the mean of the given ones, and weights of
-absent sources are left out; weights must be positive; ties in deadline go to
-the first source by name; an empty table gives no rows; other columns are
-ignored whatever their names.
+any other (rows without id, or of one id, are ranked in one task); texts are not
+read; repeated rows are placed as often as they occur; a source without a given
+weight has the mean of the given ones, and weights of absent sources are left
+out; weights must be positive; ties in deadline go to the first source by name;
+an empty table gives no rows; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -49,8 +49,8 @@ EPOCH_SLOTS = 64
 STRETCH = 64
 #: Power of a source's size that its weight follows where none are given.
 TEMPERATURE = 0.5
-#: Documents ranked together, about.
-RANKED_TOGETHER = 10_000
+#: Documents ranked together, about, and parts of a source whose sizes are summed together.
+RANKED_TOGETHER, PARTS_TOGETHER = 2000, 4096
 
 _EPS = 1e-6
 _SOURCES = "array<struct<i:int,n:bigint,w:double>>"
@@ -78,9 +78,16 @@ def _numbered(docs: DataFrame, id_col: str, source_col: str) -> tuple[DataFrame,
     sizes.sort(key=lambda x: (x[0] is not None, x[0]))
     parts = max(1, -(-sum(n for _, n in sizes) // RANKED_TOGETHER))
     rows = rows.withColumn("part", F.pmod("hash", F.lit(parts)))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("source", "part").agg(F.count("*").alias("n"))
-    starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # Starts of parts by sums within runs of parts, and sums of runs, so that no task sees all parts of a source.
+    sizes_of = rows.groupBy("source", "part").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("part") / PARTS_TOGETHER))
+    runs = sizes_of.groupBy("source", "run").agg(F.sum("n").alias("n"))
+
+    def earlier(keys: list[str], order: str) -> Column:
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    runs = runs.select(F.col("source").alias("of"), F.col("run").alias("r"), earlier(["source"], "run").alias("run_start"))
+    starts = sizes_of.withColumn("start", earlier(["source", "run"], "part")).join(runs, F.col("source").eqNullSafe(F.col("of")) & (F.col("run") == F.col("r")))
+    starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.col("run_start") + F.col("start")).alias("start"))
     places = docs.sparkSession.range(1).select(F.inline(_table([{"name": s, "at": i} for i, (s, _) in enumerate(sizes)], _NAMES)))
     starts = starts.join(places, F.col("s").eqNullSafe(F.col("name")))
     own = F.row_number().over(Window.partitionBy("source", "part").orderBy("hash", "doc_id")) - 1
