@@ -137,7 +137,6 @@ def write_records(
                 at += len(data)
                 n_docs += 1
                 n_tokens += len(ids)
-        enc.clear()
         if rec is not None:
             rec.close()
             idx.close()
